@@ -5,12 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import token_counts, token_output
+from tessera.llm import near_dedup, token_counts, token_output
+from tessera.llm.ship import ship
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -18,13 +20,30 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+
+
 def op9_token_ids_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w)>=3 THEN list_transform(range(1,len(w)-1), lambda i: w[i]||' '||w[i+1]||' '||w[i+2]) WHEN len(w)>0 THEN [array_to_string(w,' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s=y.s AND x.doc_id<y.doc_id GROUP BY 1,2),
+l AS (SELECT a,b FROM p JOIN n na ON na.doc_id=a JOIN n nb ON nb.doc_id=b WHERE 100*k>=85*(na.n+nb.n-k)),
+e AS (SELECT a,b FROM l UNION ALL SELECT b,a FROM l),
+r(doc_id,c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a=r.doc_id)
+SELECT d.doc_id, coalesce(n.n,0)::BIGINT AS n_shingles, c.c AS component_id, d.doc_id=c.c AS kept
+FROM documents d LEFT JOIN n USING(doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) c USING(doc_id)
+"""
+
+
 def queries() -> dict:
-    return {"op4_token_counts": op4_token_counts, "op9_token_ids_orc": op9_token_ids_orc}
+    return {"op4_token_counts": op4_token_counts, "op8_near_dedup": op8_near_dedup, "op9_token_ids_orc": op9_token_ids_orc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_near_dedup": OP8_SQL}
