@@ -82,9 +82,10 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     """The stored documents with their global ``start`` and ``n_tokens``."""
     rows = spark.read.schema(FILE_SCHEMA).orc(path)
     totals = rows.groupBy("part").agg(F.sum(F.size("ids").cast("long")).alias("_total"))
-    # one row per file, so this single window is as small as a file listing
+    # one row per file, so this single window, and what is broadcast, is as
+    # small as the file listing that the driver holds in any case
     base = totals.select("part", F.coalesce(F.sum("_total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    return rows.join(base, "part").select("doc_id", (F.col("local_start") + F.col("_base")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("local_start") + F.col("_base")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 def _digest(batches):
