@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import near_dedup, token_counts, token_output
+from tessera.llm import decontam, lm_scoring, near_dedup, quality, token_counts, token_output
 from tessera.llm.ship import ship
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -16,10 +16,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
@@ -28,6 +36,20 @@ def op9_token_ids_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.cross_entropy_difference(_table(spark, sf_dir, "documents"), lm_scoring.target_ids(_table(spark, sf_dir, "labels")))
+
+
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT item_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x20\x09-\x0D]+') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, unnest(list_transform(range(1,len(w)-3), lambda k: w[k]||' '||w[k+1]||' '||w[k+2]||' '||w[k+3]||' '||w[k+4])) AS s FROM v WHERE len(w)>=5),
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1),
+d AS (SELECT doc_id, unnest(list_transform(range(1,len(w)-3), lambda k: w[k]||' '||w[k+1]||' '||w[k+2]||' '||w[k+3]||' '||w[k+4])) AS s FROM w WHERE len(w)>=5),
+f AS (SELECT doc_id, item_id, count(DISTINCT s) AS k FROM d JOIN i USING (s) GROUP BY 1,2)
+SELECT doc_id, item_id, n AS n_item_shingles, k AS n_found FROM f JOIN n USING (item_id) WHERE 10*k >= 8*n
+"""
+
 OP8_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w)>=3 THEN list_transform(range(1,len(w)-1), lambda i: w[i]||' '||w[i+1]||' '||w[i+2]) WHEN len(w)>0 THEN [array_to_string(w,' ')] ELSE [] END) AS s FROM w),
@@ -42,8 +64,11 @@ FROM documents d LEFT JOIN n USING(doc_id) JOIN (SELECT doc_id, min(c) AS c FROM
 
 
 def queries() -> dict:
-    return {"op4_token_counts": op4_token_counts, "op8_near_dedup": op8_near_dedup, "op9_token_ids_orc": op9_token_ids_orc}
+    return {
+        "op1_decontamination": op1_decontamination, "op6_quality_rules": op6_quality_rules, "op10_lm_scoring": op10_lm_scoring,
+        "op4_token_counts": op4_token_counts, "op8_near_dedup": op8_near_dedup, "op9_token_ids_orc": op9_token_ids_orc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_near_dedup": OP8_SQL}
+    return {"op1_decontamination": OP1_SQL, "op8_near_dedup": OP8_SQL}
