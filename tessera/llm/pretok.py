@@ -161,11 +161,12 @@ class Pieces:
             return set()
         return {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in self.special_pattern.finditer(raw)}
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray, special: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice (little-endian uint32) and n + 1 offsets.
 
         Equals the library's ``encode(text, add_special_tokens=False).ids``;
-        texts that hold a special string go through the library whole.
+        texts that hold a special string go through the library whole, unless
+        ``special`` is off: then such strings are ordinary text.
         """
         if len(self.slot) > CACHE_LIMIT:
             self.slot, self.used = {}, 0
@@ -188,7 +189,7 @@ class Pieces:
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.repeat(self.begin[slot] - (ends - size), size) + np.arange(total)]
         text_end = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])]
-        if hits := self.special_texts(raw, offsets):
+        if special and (hits := self.special_texts(raw, offsets)):
             parts = []
             for t in range(len(offsets) - 1):
                 if t in hits:
