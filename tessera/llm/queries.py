@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontam, lm_scoring, near_dedup, quality, token_counts, token_output, toxicity
+from tessera.llm import chat_format, decontam, line_dedup, lm_scoring, mixing, near_dedup, quality, token_counts, token_output, toxicity
 from tessera.llm.ship import ship
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -37,10 +38,21 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.without_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
@@ -80,6 +92,43 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM m GROUP BY conv_id
 """
 
+OP5_SQL = r"""
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, pos, line, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tok FROM l),
+k AS (SELECT doc_id, pos, tok, len(tok) AS n, tok[1:3] AS lead FROM t WHERE len(tok) > 0),
+u AS (SELECT DISTINCT n, lead, tok FROM k),
+sz AS (SELECT n, lead, count(*) AS lines FROM u GROUP BY ALL),
+e AS (SELECT n, lead, tok, unnest(tok) AS token, generate_subscripts(tok, 1) AS p FROM u),
+c AS (SELECT n, lead, p, token, count(*) AS c FROM e GROUP BY ALL),
+m AS (SELECT c.n, c.lead, p, token FROM c JOIN sz ON sz.n = c.n AND sz.lead = c.lead WHERE 2 * c > lines),
+a AS (SELECT e.n, e.lead, e.tok FROM e JOIN m ON m.n = e.n AND m.lead = e.lead AND m.p = e.p AND m.token = e.token GROUP BY ALL HAVING 10 * count(*) >= 8 * e.n),
+g AS (SELECT k.doc_id, k.pos, k.n, k.lead, CASE WHEN a.tok IS NULL THEN k.tok END AS own FROM k LEFT JOIN a ON a.n = k.n AND a.lead = k.lead AND a.tok = k.tok),
+r AS (SELECT n, lead, own FROM g GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+x AS (SELECT DISTINCT g.doc_id, g.pos FROM g JOIN r ON g.n = r.n AND g.lead = r.lead AND g.own IS NOT DISTINCT FROM r.own),
+y AS (SELECT l.doc_id, count(*) AS n_lines, count(x.pos) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (x.pos IS NULL), '') AS kept FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.pos = l.pos GROUP BY 1)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, length(kept)::BIGINT AS kept_chars, sha256(kept) AS kept_sha256 FROM documents d LEFT JOIN y USING (doc_id)
+"""
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens, count(*) AS docs FROM d GROUP BY 1),
+p AS (SELECT source, tokens, docs, tokens / (SELECT sum(tokens) FROM s)::DOUBLE AS p FROM s WHERE tokens > 0),
+x AS (SELECT max(p) / min(p) AS ratio FROM p),
+b(step, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, CASE WHEN (SELECT ratio FROM x) <= 2.0 THEN 0.0 ELSE 1.0 END::DOUBLE
+  UNION ALL
+  SELECT step + 1, CASE WHEN pow((SELECT ratio FROM x), 1 - (lo + hi) / 2) <= 2.0 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN pow((SELECT ratio FROM x), 1 - (lo + hi) / 2) <= 2.0 THEN (lo + hi) / 2 ELSE hi END FROM b WHERE step < 40
+),
+a AS (SELECT hi AS a FROM b WHERE step = 40),
+w AS (SELECT source, tokens, docs, pow(p, (SELECT a FROM a)) AS raised FROM p),
+z AS (SELECT sum(raised) AS z, max(tokens / raised) AS least FROM w),
+q AS (SELECT s.source, s.tokens, s.docs, CASE WHEN s.tokens > 0 THEN round(raised / z * (least * z))::BIGINT ELSE 0 END AS quota FROM s LEFT JOIN w USING (source), z),
+f AS (SELECT source, quota, CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS whole, CASE WHEN tokens > 0 THEN quota % tokens ELSE 0 END AS rest, docs FROM q),
+o AS (SELECT d.*, quota, whole, rest, ('0x' || substr(md5('17:' || whole || ':' || id), 1, 12))::BIGINT AS u FROM d JOIN f USING (source)),
+r AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY u, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM o)
+SELECT doc_id, source, n_tokens, quota::BIGINT AS quota, (whole + CASE WHEN upto < rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM r
+"""
+
 OP8_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w)>=3 THEN list_transform(range(1,len(w)-1), lambda i: w[i]||' '||w[i+1]||' '||w[i+2]) WHEN len(w)>0 THEN [array_to_string(w,' ')] ELSE [] END) AS s FROM w),
@@ -96,10 +145,11 @@ FROM documents d LEFT JOIN n USING(doc_id) JOIN (SELECT doc_id, min(c) AS c FROM
 def queries() -> dict:
     return {
         "op2_toxicity": op2_toxicity, "op3_chat_format": op3_chat_format,
+        "op5_line_dedup": op5_line_dedup, "op7_mixing": op7_mixing,
         "op1_decontamination": op1_decontamination, "op6_quality_rules": op6_quality_rules, "op10_lm_scoring": op10_lm_scoring,
         "op4_token_counts": op4_token_counts, "op8_near_dedup": op8_near_dedup, "op9_token_ids_orc": op9_token_ids_orc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op1_decontamination": OP1_SQL, "op8_near_dedup": OP8_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op3_chat_format": OP3_SQL, "op1_decontamination": OP1_SQL, "op8_near_dedup": OP8_SQL}
