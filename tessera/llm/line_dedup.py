@@ -71,12 +71,16 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMIL
 
 
 def without_recurring_lines(docs: DataFrame, **knobs) -> DataFrame:
-    """The rows of ``docs`` with recurring lines cut out of ``text``, plus _n_lines and _n_dropped."""
-    drop = dropped_lines(docs, **knobs)
-    keyed = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(drop.select(F.col("doc").alias("_doc"), F.col("drop").alias("_drop")), "_doc", "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)
-    rest = [F.col(c) for c in docs.columns if c != "text"]
-    return joined.select(*rest, text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("_n_dropped"))
+    """The rows of ``docs`` with recurring lines cut out of ``text``, plus _n_lines and _n_dropped.
+
+    Columns of ``docs`` that already have one of these two names are replaced.
+    """
+    docs = docs.drop("_n_lines", "_n_dropped")
+    drop = dropped_lines(docs, **knobs).select(F.col("doc").alias("k"), "drop")
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("r"), F.xxhash64("doc_id", "text").alias("k"))
+    joined = keyed.join(drop, "k", "left")
+    lines = F.split("r.text", "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n")
+    text = F.when(F.col("drop").isNull(), F.col("r.text")).otherwise(kept)
+    n_lines, n_dropped = (F.when(c.isNull(), 0).otherwise(F.size(c)).cast("long") for c in (lines, F.col("drop")))
+    return joined.select(F.col("r").withField("text", text).alias("r"), n_lines.alias("_n_lines"), n_dropped.alias("_n_dropped")).select("r.*", "_n_lines", "_n_dropped")
