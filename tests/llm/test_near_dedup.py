@@ -1,0 +1,83 @@
+"""Near-duplicate documents (8) against brute force."""
+
+import random
+
+import numpy as np
+from llm_fixtures import ODD_ROWS, prose, shingles
+
+from tessera.llm import queries
+from tessera.llm.components import connected_components
+from tessera.llm.near_dedup import COORDS, near_duplicates, similarity_sketch
+
+
+def brute_force(rows, k, num, den):
+    """(doc_id, set size, component) by all pairs."""
+    sets = [shingles(t, k) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and den * both >= num * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return sorted((d, len(sets[i]), least[find(i)], d == least[find(i)]) for i, (d, _) in enumerate(rows))
+
+
+def found(df):
+    return sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in df.collect())
+
+
+def edited(text, share, seed):
+    rng = random.Random(seed)
+    return " ".join(w if rng.random() > share else f"edit{rng.randrange(10**6)}" for w in text.split(" "))
+
+
+def test_query_equals_sql(same):
+    assert same(queries.op8_near_dedup, queries.OP8_SQL)
+
+
+def test_groups_near_the_threshold(spark):
+    """A large group whose pairs lie on both sides of the threshold, and chains."""
+    base = prose(5, 120)
+    rows = [(1000 + i, edited(base, 0.005 * (i % 10), i)) for i in range(70)]
+    chain = prose(6, 200).split(" ")
+    rows += [(2000 - i, " ".join(chain[3 * i :] + [f"tail{k}" for k in range(3 * i)])) for i in range(12)]
+    rows += [(3000 + i, prose(100 + i, 50)) for i in range(20)] + [(3100, "one"), (3101, "ONE"), (3102, "one two"), (3103, "")]
+    rows += [(4000 + i, rows[5][1].upper()) for i in range(5)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(near_duplicates(df, 3, 85, 100)) == brute_force(rows, 3, 85, 100)
+
+
+def test_odd_rows(odd_documents, no_documents):
+    out = found(near_duplicates(odd_documents).where("doc_id is not null"))
+    assert out == brute_force([r[:2] for r in ODD_ROWS if r[0] is not None], 5, 80, 100)
+    assert [r.kept for r in near_duplicates(odd_documents.where("doc_id is null")).collect()] == [True]
+    assert near_duplicates(no_documents).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (95, 100), (7, 7)]
+    out = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert out == {i: 0 for i in range(1, 41)} | {95: 90, 100: 90}
+
+
+def test_sketch_fills_every_coordinate_and_estimates_similarity():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 50, 2000):
+        x = rng.integers(0, 2**63, n).astype(np.uint64)
+        y = np.concatenate([x[: int(n * 0.9)], rng.integers(0, 2**63, n - int(n * 0.9)).astype(np.uint64)])
+        cells = similarity_sketch(np.concatenate([x, y, x, x]), np.array([0, n, 2 * n, 4 * n]))
+        assert (cells != np.uint64(2**64 - 1)).all()
+        assert (cells[0] == cells[2]).all()  # repeats change nothing
+        true = len(set(x.tolist()) & set(y.tolist())) / len(set(x.tolist()) | set(y.tolist()))
+        assert abs((cells[0] == cells[1]).mean() - true) < 6 * (0.25 / COORDS) ** 0.5
+    assert (similarity_sketch(np.zeros(0, np.uint64), np.array([0, 0])) == np.uint64(2**64 - 1)).all()
