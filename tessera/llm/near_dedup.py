@@ -15,9 +15,10 @@ Links.  Nothing emits all pairs of a bucket:
 
 1. each bucket's least document is compared with every other one on full
    shingle sets, and the links found are merged into components;
-2. pairs of one bucket that are still in different components are compared on
-   sketches inside tasks, in blocks of bounded size, and those that come
-   anywhere near the threshold (six standard deviations) on full sets.
+2. pairs of one bucket that are still in different components are compared
+   inside tasks, in blocks of bounded size: on sketches first (six standard
+   deviations of slack), then on shortened shingle sets; each block passes on
+   the links that join its components, and these are confirmed on full sets.
 
 Pairs that are in one component already need no test, which is what makes
 groups of thousands of copies cheap without any cap.
@@ -44,7 +45,7 @@ COORDS = 128
 BAND_ROWS = 5
 BANDS = COORDS // BAND_ROWS
 #: Rows of one side of a block that is compared on sketches.
-BLOCK = 2048
+BLOCK = 1024
 
 _EMPTY = np.uint64(2**64 - 1)
 _SHIFT = np.uint64(64 - COORDS.bit_length() + 1)
@@ -138,42 +139,64 @@ def _confirm(num: int, den: int):
     return confirm
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, lower: bool, num: int, den: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The ``pairs`` (a, b) whose full shingle sets reach the similarity num / den."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(shingle, lower), "doc_id bigint, members binary").dropDuplicates(["doc_id"])
-    sets = saved(sets, "shingle-sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b")
     return left.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a").select("a", "b", "ma", "mb").mapInArrow(_confirm(num, den), "a bigint, b bigint")
 
 
-def _close_pairs(num: int, den: int):
-    """Pairs of a block in different components whose sketches come near the threshold.
+def _shorten(batches):
+    """Shingle sets with 32 bits an element, to be compared inside blocks."""
+    for batch in batches:
+        short = [np.unique((np.frombuffer(m.as_buffer(), np.uint64) >> np.uint64(32)).astype("<u4")).tobytes() for m in batch.column(1)]
+        yield pa.record_batch([batch.column(0), pa.array(short, pa.binary())], names=["doc", "members"])
 
-    Rows arrive sorted by block; a block has at most a few thousand rows.
-    """
+
+def _joining_links(num: int, den: int):
+    """Links that join the components of a block; rows arrive sorted by block."""
     least = num / den - 6 * (num / den * (1 - num / den) / COORDS) ** 0.5
 
-    def pairs_of(block: pa.Table):
-        doc, label, size, side = (block.column(c).to_numpy() for c in ("doc", "label", "n_shingles", "side"))
+    def links_of(block: pa.Table):
+        doc, root, size, side = (block.column(c).to_numpy().copy() for c in ("doc", "label", "n_shingles", "side"))
         cells = np.frombuffer(b"".join(block.column("sketch").to_pylist()), "<u2").reshape(len(doc), COORDS)
-        kind, i, j = (block.column(c)[0].as_py() for c in ("kind", "i", "j"))
-        for r in range(len(doc)):
-            if kind == 1 and i == j:
-                other = np.arange(r + 1, len(doc))
-            elif side[r] == 0:
-                other = np.flatnonzero(side == 1)
-            else:
+        kind, i, j, band = (block.column(c)[0].as_py() for c in ("kind", "i", "j", "band"))
+        earlier = np.array(block.column("bands").combine_chunks().values.to_numpy(zero_copy_only=False)).reshape(len(doc), BANDS)[:, :band]
+        members = [np.frombuffer(m, "<u4") for m in block.column("members").to_pylist()]
+        inner = kind == 1 and i == j
+        ones = np.flatnonzero(side == 1)
+        zeros = np.flatnonzero(side == 0)
+        few, many = (zeros, ones) if len(zeros) <= len(ones) else (ones, zeros)
+        for r in range(len(doc)) if inner else few:
+            other = np.arange(r + 1, len(doc)) if inner else many
+            other = other[(root[other] != root[r]) & (den * np.minimum(size[other], size[r]) >= num * np.maximum(size[other], size[r]))]
+            if not len(other):
                 continue
-            other = other[(label[other] != label[r]) & (den * np.minimum(size[other], size[r]) >= num * np.maximum(size[other], size[r]))]
-            if len(other):
-                near = other[(cells[other] == cells[r]).mean(axis=1) >= least]
-                yield np.minimum(doc[near], doc[r]), np.maximum(doc[near], doc[r])
+            alike = (cells[other] == cells[r]).mean(axis=1)
+            # a pair is compared in the first bucket that it shares
+            keep = (alike >= least) & ~(earlier[other] == earlier[r]).any(axis=1)
+            other = other[keep][np.argsort(-alike[keep], kind="stable")]
+            own, at, step = members[r], 0, 8
+            while at < len(other):
+                part = other[at : at + step]
+                at, step = at + step, 256
+                part = part[root[part] != root[r]]
+                if not len(part):
+                    continue
+                length = np.array([len(members[k]) for k in part])
+                flat = np.concatenate([members[k] for k in part])
+                found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                both = np.add.reduceat(found.astype(np.int64), np.cumsum(length) - length)
+                for k, n in zip(part.tolist(), both.tolist(), strict=True):
+                    total = int(size[k]) + int(size[r])
+                    if den * (n + 1) >= num * (total - n - 1) and root[k] != root[r]:
+                        yield min(doc[k], doc[r]), max(doc[k], doc[r])
+                        if den * n >= num * (total - n):
+                            root[root == root[k]] = root[r]
 
     def out(block):
-        found = list(pairs_of(block))
+        found = list(links_of(block))
         if found:
-            yield pa.record_batch([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["a", "b"])
+            yield pa.record_batch([pa.array([int(f[k]) for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def find(batches):
         rest: list[pa.RecordBatch] = []
@@ -194,18 +217,19 @@ def _close_pairs(num: int, den: int):
     return find
 
 
-def _crossing_pairs(buckets: DataFrame, sketches: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a, b) of one bucket that lie in different components.
+def _crossing_links(buckets: DataFrame, sketches: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b), still to be confirmed, of one bucket's different components.
 
     In each bucket the documents outside its largest component are compared
     with that component and with each other, in blocks of at most about
     ``BLOCK`` rows a side.
     """
-    rows = buckets.where("n > 2").select("key", "doc").join(labels.withColumnRenamed("id", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("label"))
+    rows = buckets.where("n > 2").select("key", "band", "doc").join(labels.withColumnRenamed("id", "doc"), "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("label"))
     parts = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
     shape = parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.count("*").alias("k")).where("k > 1")
     shape = shape.select("key", F.col("top.label").alias("bulk"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("gb"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("gm"))
-    mixed = rows.join(shape, "key").join(sketches.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch"), "doc")
+    short = sets.select("doc_id", "members").mapInArrow(_shorten, "doc bigint, members binary")
+    mixed = rows.join(shape, "key").join(sketches.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch", "bands"), "doc").join(short, "doc")
     core = F.col("label") == F.col("bulk")
     own = F.pmod(F.xxhash64("doc"), F.when(core, F.col("gb")).otherwise(F.col("gm"))).cast("int")
 
@@ -217,9 +241,10 @@ def _crossing_pairs(buckets: DataFrame, sketches: DataFrame, labels: DataFrame,
     places = F.when(core, blocks(F.col("gm"), lambda j: cell(0, own, j, zero))).otherwise(
         F.concat(blocks(F.col("gb"), lambda i: cell(0, i, own, one)), blocks(F.col("gm"), lambda k: cell(1, F.least(own, k), F.greatest(own, k), (own > k).cast("int"))))
     )
-    dealt = mixed.select("key", "doc", "label", "n_shingles", "sketch", F.explode(places).alias("p")).select("key", "p.kind", "p.i", "p.j", "p.side", "doc", "label", "n_shingles", "sketch")
+    carried = ["doc", "label", "n_shingles", "sketch", "bands", "members"]
+    dealt = mixed.select("key", "band", F.explode(places).alias("p"), *carried).select("key", "band", "p.kind", "p.i", "p.j", "p.side", *carried)
     dealt = dealt.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j", "doc")
-    return dealt.mapInArrow(_close_pairs(num, den), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(_joining_links(num, den), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, lower: bool = True) -> DataFrame:
@@ -234,15 +259,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     classes = linkable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     heads = saved(linkable.join(classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2", "n_shingles"), ["doc_id", "fp1", "fp2", "n_shingles"], "left_semi").dropDuplicates(["doc_id"]), "class-heads")
 
-    banded = heads.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("key"))
+    banded = heads.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "key"))
     pivots = banded.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     buckets = saved(banded.join(pivots, "key"), "buckets")
 
     stars = checkpointed(buckets.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct())
-    links = checkpointed(confirmed(stars, docs, shingle, lower, num, den))
+    ids = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
+    sets = saved(docs.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(shingle, lower), "doc_id bigint, members binary").dropDuplicates(["doc_id"]), "shingle-sets")
+    links = checkpointed(confirmed(stars, sets, num, den))
     labels = connected_components(links)
-    crossing = checkpointed(_crossing_pairs(buckets, heads, labels, num, den).join(stars, ["a", "b"], "left_anti"))
-    more = checkpointed(confirmed(crossing, docs, shingle, lower, num, den))
+    crossing = checkpointed(_crossing_links(buckets, heads, sets, labels, num, den).join(stars, ["a", "b"], "left_anti"))
+    more = checkpointed(confirmed(crossing, sets, num, den))
     # the first round's stars stand for its links
     labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
