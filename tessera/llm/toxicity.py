@@ -8,8 +8,9 @@ softmax are trained together in numpy.  An unseen misspelling shares most
 n-grams, and so most of its vector, with the word it comes from.
 
 A document is scored by passages of ``PASSAGE`` words (a short document is one
-passage) and is as toxic as its most toxic passage, so that an insult in a
-long text is not averaged away; training follows the same rule.
+passage): by the mean of its ``TOP`` most toxic ones, so that insults in a long
+text are not averaged away, and one odd word alone decides little; training
+follows the same rule.
 
 Training reads at most ``SAMPLE`` labelled rows of each class (chosen by hash,
 never held-out rows): a documented bound, since the classifier's table is of
@@ -38,7 +39,9 @@ from tessera.llm.textvec import Words, mix, prefix_hash, slices, text_bytes
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 DIM = 8
-PASSAGE = 10
+PASSAGE = 5
+#: A document's score is the mean over so many of its most toxic passages.
+TOP = 3
 SAMPLE = 1500
 EPOCHS = 12
 NGRAMS = (3, 4, 5)
@@ -115,11 +118,11 @@ class SubwordClassifier:
                 chosen = order[lo : lo + batch]
                 scalar = self.scalars()
                 picked = []
-                for t in chosen:  # the passage that the model finds most toxic
+                for t in chosen:  # the passages that the model finds most toxic
                     bound, bucket, weight = bags[t]
                     means = np.add.reduceat(scalar[bucket] * weight, bound[:-1])
-                    k = int(np.argmax(means))
-                    picked.append((bucket[bound[k] : bound[k + 1]], weight[bound[k] : bound[k + 1]]))
+                    top = [slice(bound[k], bound[k + 1]) for k in np.argsort(-means, kind="stable")[:TOP]]
+                    picked.append((np.concatenate([bucket[k] for k in top]), np.concatenate([weight[k] for k in top]) / len(top)))
                 bucket, weight = np.concatenate([p[0] for p in picked]), np.concatenate([p[1] for p in picked])
                 cut = np.cumsum([0] + [len(p[0]) for p in picked])
                 hidden = np.add.reduceat(self.table[bucket] * weight[:, None], cut[:-1])
@@ -204,10 +207,10 @@ class WordSums:
             passage, text = passages(words)
             n = np.maximum(np.bincount(passage, subword_count(words.end - words.start), len(text)), LEAST)
             mean = np.bincount(passage, self.of(words, data) * _fresh(words, passage), len(text)) / n
-            best = np.full(words.n_texts, -np.inf)
-            np.maximum.at(best, text, mean)
-            has = best > -np.inf
-            out[has] = best[has] + bias
+            order = np.lexsort((-mean, text))  # the texts' passages stay together, the most toxic first
+            rank = np.arange(len(text)) - np.searchsorted(text, text[order])
+            top = order[rank < TOP]
+            out += np.bincount(text[top], mean[top], words.n_texts) / np.maximum(np.bincount(text[top], minlength=words.n_texts), 1)
         return out
 
 
@@ -229,7 +232,7 @@ def _scorer(name: str, scalar, bias: float):
                 odds = sums.log_odds(data, offsets, bias)
                 ids = rows.column(0).cast(pa.int64())
                 out = [i is not None and zlib.crc32(str(i).encode()) % HELD_OUT == 0 for i in ids.to_pylist()]
-                prob = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+                prob = np.where(np.isneginf(odds), 0.0, 1 / (1 + np.exp(-np.clip(odds, -700, 700))))
                 yield pa.record_batch([ids, pa.array(out), pa.array(prob), pa.array((prob >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return score
