@@ -89,20 +89,30 @@ def _distinct(batches):
 
 
 def _count_pieces(tokenizer_file: str):
-    """Merge equal pre-tokens of a partition and count the pieces of each once."""
+    """Merge equal pre-tokens, which arrive as neighbours, and count the pieces of each once."""
+
+    def rows(pieces, key, raw, n):
+        return pa.record_batch([pa.array(key, pa.int64()), pa.array([len(pieces.piece(r)) for r in raw], pa.int32()), pa.array(n, pa.int64())], names=["key", "pieces", "total"])
 
     def count(batches):
         pieces = worker_pieces(tokenizer_file)
-        seen: dict[int, list[int]] = {}
+        open_: tuple[int, bytes, int] | None = None  # the last key so far may go on in the next batch
         for batch in batches:
-            for k, raw, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if (got := seen.get(k)) is None:
-                    seen[k] = [len(pieces.piece(raw)), n]
+            if not batch.num_rows:
+                continue
+            key, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            raw = batch.column(1).take(pa.array(first)).to_pylist()
+            key, n = key[first].tolist(), np.add.reduceat(n, first).tolist()
+            if open_ is not None:
+                if key[0] == open_[0]:
+                    n[0] += open_[2]
                 else:
-                    got[1] += n
-        for lo in range(0, len(keys_ := list(seen)), 50_000):
-            part = keys_[lo : lo + 50_000]
-            yield pa.record_batch([pa.array(part, pa.int64()), pa.array([seen[k][0] for k in part], pa.int32()), pa.array([seen[k][1] for k in part], pa.int64())], names=["key", "pieces", "total"])
+                    key, raw, n = [open_[0], *key], [open_[1], *raw], [open_[2], *n]
+            open_ = (key[-1], raw[-1], n[-1])
+            yield rows(pieces, key[:-1], raw[:-1], n[:-1])
+        if open_ is not None:
+            yield rows(pieces, *([x] for x in open_))
 
     return count
 
@@ -110,7 +120,7 @@ def _count_pieces(tokenizer_file: str):
 def piece_counts(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """One row per distinct pre-token: key, pieces, total occurrences."""
     found = docs.select("text").mapInArrow(_distinct, "key bigint, piece binary, n bigint")
-    return found.repartition(F.col("key")).mapInArrow(_count_pieces(tokenizer_file), "key bigint, pieces int, total bigint")
+    return found.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_count_pieces(tokenizer_file), "key bigint, pieces int, total bigint")
 
 
 def frequent(table: DataFrame, limit: int) -> int:
