@@ -12,9 +12,9 @@ passage): by the mean of its ``TOP`` most toxic ones, so that insults in a long
 text are not averaged away, and one odd word alone decides little; training
 follows the same rule.
 
-Training reads at most ``SAMPLE`` labelled rows of each class (chosen by hash,
-never held-out rows): a documented bound, since the classifier's table is of
-fixed size.  Scoring covers all rows.  Because the softmax is linear, a
+Training reads at most ``SAMPLE`` labelled rows of each class, of at most
+``SAMPLE_CHARS`` characters each (chosen by hash, never held-out rows): documented
+bounds, since the classifier's table is of fixed size.  Scoring covers all rows.  Because the softmax is linear, a
 worker needs one number per bucket (1 MB), not the vectors.
 
 Defined results for odd input: a null, empty or blank text has no subwords
@@ -43,6 +43,7 @@ PASSAGE = 5
 #: A document's score is the mean over so many of its most toxic passages.
 TOP = 3
 SAMPLE = 1500
+SAMPLE_CHARS = 20_000
 EPOCHS = 12
 NGRAMS = (3, 4, 5)
 #: A passage of fewer subwords counts as so many, so that a word or two decide nothing.
@@ -165,7 +166,7 @@ def text_bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
         bucket, owner = subwords(data, words.start[keep], words.end[keep], words.hash[keep])
         p = passage[keep][owner]
         order = np.argsort(p, kind="stable")
-        out.append((np.concatenate([[0], np.cumsum(np.bincount(p))]), bucket[order], (1.0 / n[p[order]]).astype(np.float32)))
+        out.append((np.concatenate([[0], np.cumsum(np.bincount(p))]), bucket[order].astype(np.int32), (1.0 / n[p[order]]).astype(np.float32)))
     return out
 
 
@@ -239,25 +240,28 @@ def _scorer(name: str, scalar, bias: float):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of at most ``sample`` labelled rows of each class, never held-out ones.
+    """(doc_id, text, toxic, draw) of about ``sample`` labelled rows of each class, never held-out ones.
 
-    Labels are thinned by hash to about twice the bound before texts are read,
-    so that what reaches the driver does not grow with the table.
+    Labels are thinned by hash before texts are read, so that what reaches
+    the driver does not grow with the table.
     """
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT != 0)
     usable = usable.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
     sizes = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     limit = lambda k: min(1.0, sample / max(1, sizes.get(k, 0))) * (1 << 30)
-    chosen = usable.where(F.col("draw") < F.when(F.col("toxic") == 1, F.lit(limit(1))).otherwise(F.lit(limit(0)))).select("doc_id", "toxic")
+    chosen = usable.where(F.col("draw") < F.when(F.col("toxic") == 1, F.lit(limit(1))).otherwise(F.lit(limit(0)))).select("doc_id", "toxic", "draw")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(bounded_broadcast(chosen, 4 * sample), "doc_id")
-    return rows.where(F.trim("text") != "").select("doc_id", "text", "toxic")
+    return rows.where((F.trim("text") != "") & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text", "toxic", "draw")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``."""
     sc = docs.sparkSession.sparkContext
-    rows = training_rows(docs, labels, sample).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    texts, label = rows["text"].to_pylist(), rows["toxic"].to_numpy()
+    rows = training_rows(docs, labels, sample).toArrow().sort_by([("toxic", "ascending"), ("draw", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    label = rows["toxic"].to_numpy()
+    first = np.searchsorted(label, label)
+    rows, label = rows.filter(pa.array(np.arange(len(label)) - first < sample)), label[np.arange(len(label)) - first < sample]
+    texts = rows["text"].to_pylist()
     scalar, bias = np.zeros(BUCKETS, np.float32), -np.inf
     if len(set(label.tolist())) == 2:
         bags = text_bags(texts)
