@@ -53,5 +53,6 @@ def row_json(df: DataFrame, columns: list[str], pretty: bool = False, name: str
 
 
 def error_text(text: Column, status: Column) -> Column:
-    """The text of a failed request, or one made from its status if the text is blank."""
-    return F.coalesce(F.nullif(text, F.lit("")), F.concat(F.lit("Request failed: "), status.cast("string")))
+    """The text of a failed request, or one made from its status if the text is empty."""
+    made = F.lit("Request failed: ")  # fixed value
+    return F.coalesce(F.nullif(text, F.lit("")), F.concat(made, status.cast("string")))

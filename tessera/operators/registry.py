@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fields of a module status: required, and optional.
+#: The fields of a module status, required and optional.
 STATUS_REQUIRED = ["id", "name", "kind", "available", "source_available", "ui_available", "api_available", "web_available", "path", "message"]
 STATUS_OPTIONAL = ["web_url", "api_url"]
 
