@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,9 +46,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows.
 
-    Larger tables come back without the hint, so that the join shuffles.
+    Larger tables come back without the hint, so that the join shuffles.  The
+    count is summed up in all tasks; a limit would gather rows in one.
     """
-    from pyspark.sql import functions as F
-
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
