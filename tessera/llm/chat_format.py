@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.pretok import worker_pieces
 from tessera.llm.textvec import slices
+from tessera.llm.worker import held
 
 MARKS = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ASST]", "[ROLE]", "[/ROLE]", "[/TURN]")
 _FRAMES = {"user": ("[INST]", "[/INST]"), "system": ("[SYS]", "[/SYS]"), "assistant": ("[ASST]", "</s>")}
@@ -161,14 +162,9 @@ class ChatReader:
         return "".join(written), turns, "".join(loss)
 
 
-_readers: dict[str, ChatReader] = {}
-
-
 def _digester(tokenizer_file: str):
     def digest(batches):
-        if tokenizer_file not in _readers:
-            _readers[tokenizer_file] = ChatReader(tokenizer_file)
-        reader = _readers[tokenizer_file]
+        reader = held("tokens", "reader", tokenizer_file, lambda: ChatReader(tokenizer_file))
         for batch in batches:
             out = []
             for conv, ids, mask in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):

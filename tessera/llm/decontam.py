@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.textvec import Words, mix, signed, slices
 from tessera.llm.token_counts import Lookup
+from tessera.llm.worker import held
 
 #: Shingles of the items that are broadcast at once (8 bytes each, and as much again for their sketches).
 BLOCK_SHINGLES = 2_000_000
@@ -86,14 +87,8 @@ class SketchIndex:
             self.by_window[int(w)] = (Lookup(uniq, np.arange(len(uniq))), np.append(first, len(value)), owner[order])
 
 
-_indexes: dict[str, SketchIndex] = {}
-
-
 def _index(name: str, block, threshold: float) -> SketchIndex:
-    if name not in _indexes:
-        _indexes.clear()
-        _indexes[name] = SketchIndex(*block.value, threshold)
-    return _indexes[name]
+    return held("decontamination", "index", name, lambda: SketchIndex(*block.value, threshold))
 
 
 def _search(name: str, block, threshold: float):

@@ -21,12 +21,15 @@ from functools import lru_cache
 import numpy as np
 
 from tessera.llm.textvec import mix, prefix_hash
+from tessera.llm.worker import held
 
 LETTER, NUMBER, OTHER, SPACE, BLANK = 0, 1, 2, 3, 4  # BLANK is U+0020
 
 #: Pieces kept per worker before the cache starts afresh.
 CACHE_LIMIT = 1_500_000
 FRONT_BITS = 20
+#: Pre-tokens in the dictionary of recent ones before they join the sorted arrays.
+RECENT = 50_000
 
 
 @lru_cache(maxsize=1)
@@ -128,33 +131,58 @@ class Pieces:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special_pattern = re.compile("|".join(map(re.escape, self.special)).encode()) if self.special else None
         self.alphabet = dict(enumerate(byte_letters()))
-        self.slot: dict[int, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # Known pre-tokens: sorted keys with their slots, and a small
+        # dictionary of recent ones that is merged in from time to time.
+        # Plain arrays take some 20 bytes a pre-token.
+        self.known, self.known_slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.recent: dict[int, int] = {}
         self.ids = np.zeros(1 << 16, "<u4")
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
-        self.used = 0
-        # A direct-mapped table in front of the dictionary: most pre-tokens are
-        # found here without sorting or per-word Python.
+        self.begin = np.zeros(1 << 14, np.int32)
+        self.size = np.zeros(1 << 14, np.int32)
+        self.slots = self.used = 0
+        # A direct-mapped table in front: most pre-tokens are found here
+        # without sorting or per-word Python.
         self.front_key = np.zeros(1 << FRONT_BITS, np.uint64)
-        self.front_slot = np.full(1 << FRONT_BITS, -1, np.int64)
+        self.front_slot = np.full(1 << FRONT_BITS, -1, np.int32)
 
     def piece(self, raw: bytes) -> list[int]:
         """Ids of one pre-token."""
         return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.alphabet))]
 
     def _add(self, key: int, raw: bytes) -> int:
-        ids = self.piece(raw)
-        k = len(self.slot)
+        ids, k = self.piece(raw), self.slots
         if k >= len(self.begin):
-            self.begin, self.size = np.resize(self.begin, 2 * k), np.resize(self.size, 2 * k)
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
         if self.used + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids) // 2, len(ids)), "<u4")])
         self.ids[self.used : self.used + len(ids)] = ids
         self.begin[k], self.size[k] = self.used, len(ids)
         self.used += len(ids)
-        self.slot[key] = k
+        self.slots += 1
+        self.recent[key] = k
         return k
 
+    def _merge(self) -> None:
+        key = np.concatenate([self.known, np.fromiter(self.recent.keys(), np.uint64, len(self.recent))])
+        slot = np.concatenate([self.known_slot, np.fromiter(self.recent.values(), np.int32, len(self.recent))])
+        order = np.argsort(key, kind="stable")
+        self.known, self.known_slot, self.recent = key[order], slot[order], {}
+
+    def _slots(self, key: np.ndarray, start: np.ndarray, end: np.ndarray, raw: bytes) -> np.ndarray:
+        """Slots of different, sorted keys; texts of unknown ones are encoded."""
+        out = np.full(len(key), -1, np.int32)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
+            out = np.where(self.known[at] == key, self.known_slot[at], -1)
+        for i in np.flatnonzero(out < 0).tolist():
+            h = int(key[i])
+            s = self.recent.get(h)
+            out[i] = self._add(h, raw[start[i] : end[i]]) if s is None else s
+        return out
+
     def special_texts(self, raw: bytes, offsets: np.ndarray) -> set[int]:
         """Numbers of the texts in which a special string occurs."""
         if self.special_pattern is None:
@@ -168,9 +196,10 @@ class Pieces:
         texts that hold a special string go through the library whole, unless
         ``special`` is off: then such strings are ordinary text.
         """
-        if len(self.slot) > CACHE_LIMIT:
-            self.slot, self.used = {}, 0
-            self.front_slot[:] = -1
+        if self.slots > CACHE_LIMIT:
+            self._forget()
+        elif len(self.recent) > RECENT:
+            self._merge()
         start, end, count, key = keys(data, offsets)
         at = (key >> np.uint64(64 - FRONT_BITS)).astype(np.int64)
         slot = self.front_slot[at]
@@ -178,10 +207,8 @@ class Pieces:
         raw = data.tobytes()
         if len(miss):
             uniq, where, inverse = np.unique(key[miss], return_index=True, return_inverse=True)
-            get, slots = self.slot.get, np.zeros(len(uniq), np.int64)
-            for i, (h, w) in enumerate(zip(uniq.tolist(), miss[where].tolist(), strict=True)):
-                s = get(h)
-                slots[i] = self._add(h, raw[start[w] : end[w]]) if s is None else s
+            w = miss[where]
+            slots = self._slots(uniq, start[w], end[w], raw)
             slot[miss] = slots[inverse]
             self.front_key[at[miss]], self.front_slot[at[miss]] = key[miss], slot[miss]
         size = self.size[slot]
@@ -202,7 +229,6 @@ class Pieces:
         return ids, text_end
 
 
-@lru_cache(maxsize=4)
 def worker_pieces(tokenizer_file: str) -> Pieces:
-    """One cache per Python worker and vocabulary."""
-    return Pieces(tokenizer_file)
+    """The cache of this Python worker."""
+    return held("tokens", "pieces", tokenizer_file, lambda: Pieces(tokenizer_file))

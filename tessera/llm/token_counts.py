@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm.pretok import keys, worker_pieces
 from tessera.llm.spill import saved
 from tessera.llm.textvec import signed, slices
+from tessera.llm.worker import held
 
 #: Rows of the frequent pre-tokens that are broadcast, at most (12 MB).
 HEAD_LIMIT = 1 << 20
@@ -167,17 +168,10 @@ def _sum_head(tokenizer_file: str, head):
     return score
 
 
-_lookups: dict[tuple, Lookup] = {}
-
-
 def _worker_lookup(head) -> Lookup:
     """The broadcast table, indexed once per Python worker."""
     key, value = head.value
-    name = (len(key), int(key.sum()), int(value.sum()))
-    if name not in _lookups:
-        _lookups.clear()
-        _lookups[name] = Lookup(key, value)
-    return _lookups[name]
+    return held("tokens", "frequent", (len(key), int(key.sum()), int(value.sum())), lambda: Lookup(key, value))
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 1024, head_limit: int = HEAD_LIMIT) -> DataFrame:

@@ -59,6 +59,7 @@ def _encoder(tokenizer_file: str, end_id: int):
                 lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(out.astype(np.int32, copy=False)))
                 yield pa.record_batch([rows.column(0).cast(pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(done + off[:-1]), lists], names=["doc_id", "part", "local_start", "ids"])
                 done += int(off[-1])
+        pa.default_memory_pool().release_unused()
 
     return encode
 

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.spill import bounded_broadcast
 from tessera.llm.textvec import Words, mix, prefix_hash, slices, text_bytes
+from tessera.llm.worker import held
 
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
@@ -215,14 +216,8 @@ class WordSums:
         return out
 
 
-_sums: dict[str, WordSums] = {}
-
-
 def _worker_sums(name: str, scalar) -> WordSums:
-    if name not in _sums:
-        _sums.clear()
-        _sums[name] = WordSums(scalar.value)
-    return _sums[name]
+    return held("toxicity", "sums", name, lambda: WordSums(scalar.value))
 
 
 def _scorer(name: str, scalar, bias: float):
