@@ -26,8 +26,10 @@ groups of thousands of copies cheap without any cap.
 Defined results for odd input: a null, empty or blank text has no shingles and
 is linked with nothing; a text of fewer words than a shingle is one shingle;
 a null ``doc_id`` is linked with nothing and kept; rows that repeat a ``doc_id``
-have a result row each, by their own text; an empty table gives no rows; extra
-columns are ignored.
+have a result row each, by their own text (if their texts differ, only the one
+of least fingerprint is compared with other documents, and the others join
+documents of an equal set); an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ from pyspark.sql import functions as F
 from tessera.llm.components import connected_components
 from tessera.llm.spill import checkpointed, saved
 from tessera.llm.textvec import Words, mix, signed, slices
+from tessera.llm.worker import forget
 
 COORDS = 128
 BAND_ROWS = 5
@@ -87,11 +90,22 @@ def _sets(data, offsets, shingle, lower):
     return [np.unique(found[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
 
+def _fingerprints(flat: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit fingerprints of each set; equal sets have equal ones."""
+    out = []
+    for k in (1, 2):
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat + np.uint64(k)), dtype=np.uint64)])
+            out.append(signed(mix(sums[off[1:]] - sums[off[:-1]])))
+    return out
+
+
 SKETCH_SCHEMA = "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, bands array<bigint>, sketch binary"
 
 
 def _sketcher(shingle: int, lower: bool):
     def sketch(batches):
+        forget()
         for batch in batches:
             for rows, data, offsets in slices(batch):
                 sets = _sets(data, offsets, shingle, lower)
@@ -101,13 +115,11 @@ def _sketcher(shingle: int, lower: bool):
                 cells = similarity_sketch(flat, off)
                 keys = band_keys(cells)
                 bits = (mix(cells) & np.uint64(0xFFFF)).astype("<u2")
-                with np.errstate(over="ignore"):
-                    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat + np.uint64(k)), dtype=np.uint64)]) for k in (1, 2)]
-                fps = [mix(s[off[1:]] - s[off[:-1]]) for s in sums]
+                fps = _fingerprints(flat, off)
                 full = size > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * BANDS)]), pa.int32()), pa.array(signed(keys[full].ravel())))
                 yield pa.record_batch(
-                    [rows.column(0).cast(pa.int64()), pa.array(size), pa.array(signed(fps[0])), pa.array(signed(fps[1])), lists, pa.array([b.tobytes() for b in bits], pa.binary())],
+                    [rows.column(0).cast(pa.int64()), pa.array(size), pa.array(fps[0]), pa.array(fps[1]), lists, pa.array([b.tobytes() for b in bits], pa.binary())],
                     names=["doc_id", "n_shingles", "fp1", "fp2", "bands", "sketch"],
                 )
 
@@ -118,7 +130,9 @@ def _full_sets(shingle: int, lower: bool):
     def build(batches):
         for batch in batches:
             for rows, data, offsets in slices(batch):
-                yield pa.record_batch([rows.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in _sets(data, offsets, shingle, lower)], pa.binary())], names=["doc_id", "members"])
+                sets = _sets(data, offsets, shingle, lower)
+                fps = _fingerprints(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+                yield pa.record_batch([rows.column(0).cast(pa.int64()), *map(pa.array, fps), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "fp1", "fp2", "members"])
 
     return build
 
@@ -257,7 +271,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     base = saved(docs.mapInArrow(_sketcher(shingle, lower), SKETCH_SCHEMA), "sketches")
     linkable = base.where("n_shingles > 0 and doc_id is not null")
     classes = linkable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    heads = saved(linkable.join(classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2", "n_shingles"), ["doc_id", "fp1", "fp2", "n_shingles"], "left_semi").dropDuplicates(["doc_id"]), "class-heads")
+    # an id with several texts takes part in links by the one of least fingerprint
+    chosen = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("fp1", "fp2")).alias("fp")).select("doc_id", "fp.fp1", "fp.fp2")
+    heads = saved(linkable.join(chosen, ["doc_id", "fp1", "fp2"], "left_semi").dropDuplicates(["doc_id"]), "class-heads")
 
     banded = heads.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "key"))
     pivots = banded.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1")
@@ -265,7 +281,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
     stars = checkpointed(buckets.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct())
     ids = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    sets = saved(docs.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(shingle, lower), "doc_id bigint, members binary").dropDuplicates(["doc_id"]), "shingle-sets")
+    found = docs.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(shingle, lower), "doc_id bigint, fp1 bigint, fp2 bigint, members binary")
+    sets = saved(found.groupBy("doc_id").agg(F.min_by("members", F.struct("fp1", "fp2")).alias("members")), "shingle-sets")
     links = checkpointed(confirmed(stars, sets, num, den))
     labels = connected_components(links)
     crossing = checkpointed(_crossing_links(buckets, heads, sets, labels, num, den).join(stars, ["a", "b"], "left_anti"))
