@@ -29,7 +29,8 @@ from tessera.llm.spill import bounded_broadcast, saved
 DEPTH = 3
 SIMILARITY = 0.8
 MIN_DOCS = 3
-#: Leaf keys that are broadcast to pick the lines to look into (16 MB); more are joined by a shuffle.
+#: Leaf keys that are broadcast to pick the lines to look into, and recurring templates
+#: to pick the lines to drop (16 MB each); more are joined by a shuffle.
 MAX_LEAVES = 2_000_000
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -67,6 +68,7 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMIL
     named = rows.join(members, ["leaf", "line"], "left").select("doc", "pos", F.when(F.col("shared"), F.xxhash64(F.lit("leaf"), "leaf")).otherwise(F.xxhash64("leaf", "line")).alias("template"))
     named = saved(named, "line-templates")
     recurring = named.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
+    recurring = bounded_broadcast(saved(recurring, "recurring-templates"), MAX_LEAVES)
     return named.join(recurring, "template", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 
