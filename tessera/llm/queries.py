@@ -62,7 +62,7 @@ def op9_token_ids_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.cross_entropy_difference(_table(spark, sf_dir, "documents"), lm_scoring.target_ids(_table(spark, sf_dir, "labels")))
+    return lm_scoring.word_cross_entropy_difference(_table(spark, sf_dir, "documents"), lm_scoring.target_ids(_table(spark, sf_dir, "labels")))
 
 
 OP1_SQL = r"""
