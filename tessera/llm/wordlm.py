@@ -141,6 +141,41 @@ def pair_model(counts: DataFrame) -> DataFrame:
     return joined.select("key", "total", *(F.log(F.col(f"m{k}.s") + F.col(f"m{k}.b") * F.col(f"l{k}")).cast("float").alias(f"p{k}") for k in range(len(names))))
 
 
+def _word_counter(batches):
+    parts, n = [], 0
+
+    def flush():
+        word, count = np.unique(np.concatenate(parts), return_counts=True)
+        for lo in range(0, len(word), 100_000):
+            yield pa.record_batch([pa.array(signed(word[lo : lo + 100_000])), pa.array(count[lo : lo + 100_000])], names=["key", "n"])
+
+    for batch in batches:
+        for _, data, offsets in slices(batch):
+            parts.append(Words(data, offsets).hash)
+            n += len(parts[-1])
+            if n >= TASK_WORDS:
+                yield from flush()
+                parts, n = [], 0
+    if n:
+        yield from flush()
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(key, total) of all different words."""
+    found = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_word_counter, "key bigint, n bigint")
+    return found.groupBy("key").agg(F.sum("n").alias("total"))
+
+
+def frequency_lists(text: np.ndarray, key: np.ndarray, n: int) -> list[pa.Array]:
+    """Two list columns for ``n`` texts: the different keys of each, and how often it has them."""
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    freq = np.diff(np.append(first, len(key)))
+    off = pa.array(np.searchsorted(text[first], np.arange(n + 1)), pa.int32())
+    return [pa.ListArray.from_arrays(off, pa.array(signed(key[first]))), pa.ListArray.from_arrays(off, pa.array(freq.astype(np.int32)))]
+
+
 def _sum_head(head, name):
     def score(batches):
         from pyspark import TaskContext
@@ -155,15 +190,9 @@ def _sum_head(head, name):
                 at = lookup.find(key)
                 known = at >= 0
                 sums = [np.bincount(text[known], v[lookup.value[at[known]]], n).astype(np.float64) for v in values]
-                text, key = text[~known], key[~known]
-                order = np.lexsort((key, text))
-                text, key = text[order], key[order]
-                first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-                freq = np.diff(np.append(first, len(key)))
-                off = pa.array(np.searchsorted(text[first], np.arange(n + 1)), pa.int32())
+                tail = frequency_lists(text[~known], key[~known], n)
                 columns = [pa.array(row + np.arange(n)), rows.column(0).cast(pa.int64()), pa.array(words.count), *(pa.array(s) for s in sums)]
-                columns += [pa.ListArray.from_arrays(off, pa.array(signed(key[first]))), pa.ListArray.from_arrays(off, pa.array(freq.astype(np.int32)))]
-                yield pa.record_batch(columns, names=["row", "doc_id", "n_tokens", *(f"h{k}" for k in range(len(values))), "keys", "freqs"])
+                yield pa.record_batch([*columns, *tail], names=["row", "doc_id", "n_tokens", *(f"h{k}" for k in range(len(values))), "keys", "freqs"])
                 row += n
 
     return score
