@@ -7,6 +7,8 @@ of its different lines have there, and ``<*>`` elsewhere.  A line belongs to
 the template if at least ``SIMILARITY`` of its tokens are the template's; else
 the line is a template of its own.  Templates found in at least ``MIN_DOCS``
 documents are recurring, and their lines are dropped from every document.
+With ``long_tokens``, templates of that many tokens or more recur from
+``LONG_DOCS`` documents on; below ``MIN_DOCS`` one document keeps its lines.
 
 The tree is built from pre-aggregated counts: equal lines meet once, token
 counts are summed before they are shuffled, and only lines of leaves that hold
@@ -29,6 +31,7 @@ from tessera.llm.spill import bounded_broadcast, saved
 DEPTH = 3
 SIMILARITY = 0.8
 MIN_DOCS = 3
+LONG_DOCS = 2
 #: Leaf keys that are broadcast to pick the lines to look into, and recurring templates
 #: to pick the lines to drop (16 MB each); more are joined by a shuffle.
 MAX_LEAVES = 2_000_000
@@ -56,20 +59,26 @@ def template_members(lines: DataFrame, similarity: float = SIMILARITY) -> DataFr
     return alike.where(F.col("same") >= F.lit(similarity) * F.col("n")).select("leaf", "line")
 
 
-def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS) -> DataFrame:
+def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, long_tokens: int | None = None) -> DataFrame:
     """(doc, drop): for each document with recurring lines, their sorted positions."""
     docs = docs.select("doc_id", "text")
-    rows = saved(parsed_lines(docs, depth).select("doc", "pos", "leaf", F.xxhash64("tokens").alias("line")), "line-keys")
+    is_long = [] if long_tokens is None else [(F.size("tokens") >= long_tokens).alias("long")]
+    rows = saved(parsed_lines(docs, depth).select("doc", "pos", "leaf", F.xxhash64("tokens").alias("line"), *is_long), "line-keys")
     leaves = rows.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.min("doc").alias("c"), F.max("doc").alias("d"))
     mixed = saved(leaves.where("a <> b and c <> d").select("leaf"), "mixed-leaves")
     inside = saved(parsed_lines(docs, depth).join(bounded_broadcast(mixed, MAX_LEAVES), "leaf", "left_semi").select("leaf", "tokens").distinct(), "leaf-lines")
     members = template_members(inside, similarity).withColumn("shared", F.lit(True))
     # a line is known by its own hash, or by its leaf's if the template covers it
-    named = rows.join(members, ["leaf", "line"], "left").select("doc", "pos", F.when(F.col("shared"), F.xxhash64(F.lit("leaf"), "leaf")).otherwise(F.xxhash64("leaf", "line")).alias("template"))
+    named = rows.join(members, ["leaf", "line"], "left").select("doc", "pos", F.when(F.col("shared"), F.xxhash64(F.lit("leaf"), "leaf")).otherwise(F.xxhash64("leaf", "line")).alias("template"), *(["long"] if is_long else []))
     named = saved(named, "line-templates")
     recurring = named.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
     recurring = bounded_broadcast(saved(recurring, "recurring-templates"), MAX_LEAVES)
-    return named.join(recurring, "template", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
+    found = named.join(recurring, "template", "left_semi").select("doc", "pos")
+    if is_long:
+        twice = named.where("long").select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("doc").alias("keeps"))
+        twice = saved(twice.where((F.col("n") >= LONG_DOCS) & (F.col("n") < min_docs)).select("template", "keeps"), "long-templates")
+        found = found.union(named.join(bounded_broadcast(twice, MAX_LEAVES), "template").where("doc <> keeps").select("doc", "pos"))
+    return found.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 
 def without_recurring_lines(docs: DataFrame, **knobs) -> DataFrame:
