@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from tessera.llm.textvec import mix, prefix_hash
+from tessera.llm.textvec import blocks, span_hash
 from tessera.llm.worker import held
 
 LETTER, NUMBER, OTHER, SPACE, BLANK = 0, 1, 2, 3, 4  # BLANK is U+0020
@@ -101,14 +101,12 @@ def boundaries(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return lead[at], np.diff(np.searchsorted(at, np.searchsorted(lead, offsets)))
 
 
-def keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit key of every pre-token, and how many each text has."""
+def keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit key of every pre-token, how many each text has, and a second, independent key."""
     start, count = boundaries(data, offsets)
     end = np.append(start[1:], len(data)) if len(start) else start
-    prefix, down = prefix_hash(data)
-    with np.errstate(over="ignore"):
-        key = mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return start, end, count, key
+    block = blocks(data)
+    return start, end, count, span_hash(block, start, end), span_hash(block, start, end, 0x51)
 
 
 def byte_letters() -> list[str]:
@@ -142,6 +140,7 @@ class Pieces:
         self.ids = np.zeros(1 << 16, "<u4")
         self.begin = np.zeros(1 << 14, np.int32)
         self.size = np.zeros(1 << 14, np.int32)
+        self.check = np.zeros(1 << 14, np.uint64)
         self.slots = self.used = 0
         # A direct-mapped table in front: most pre-tokens are found here
         # without sorting or per-word Python.
@@ -152,14 +151,14 @@ class Pieces:
         """Ids of one pre-token."""
         return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.alphabet))]
 
-    def _add(self, key: int, raw: bytes) -> int:
+    def _add(self, key: int, check: int, raw: bytes) -> int:
         ids, k = self.piece(raw), self.slots
         if k >= len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+            self.begin, self.size, self.check = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.check))
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids) // 2, len(ids)), "<u4")])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.begin[k], self.size[k] = self.used, len(ids)
+        self.begin[k], self.size[k], self.check[k] = self.used, len(ids), check
         self.used += len(ids)
         self.slots += 1
         self.recent[key] = k
@@ -171,7 +170,7 @@ class Pieces:
         order = np.argsort(key, kind="stable")
         self.known, self.known_slot, self.recent = key[order], slot[order], {}
 
-    def _slots(self, key: np.ndarray, start: np.ndarray, end: np.ndarray, raw: bytes) -> np.ndarray:
+    def _slots(self, key: np.ndarray, check: np.ndarray, start: np.ndarray, end: np.ndarray, raw: bytes) -> np.ndarray:
         """Slots of different, sorted keys; texts of unknown ones are encoded."""
         out = np.full(len(key), -1, np.int32)
         if len(self.known):
@@ -180,7 +179,7 @@ class Pieces:
         for i in np.flatnonzero(out < 0).tolist():
             h = int(key[i])
             s = self.recent.get(h)
-            out[i] = self._add(h, raw[start[i] : end[i]]) if s is None else s
+            out[i] = self._add(h, int(check[i]), raw[start[i] : end[i]]) if s is None else s
         return out
 
     def special_texts(self, raw: bytes, offsets: np.ndarray) -> set[int]:
@@ -194,13 +193,15 @@ class Pieces:
 
         Equals the library's ``encode(text, add_special_tokens=False).ids``;
         texts that hold a special string go through the library whole, unless
-        ``special`` is off: then such strings are ordinary text.
+        ``special`` is off: then such strings are ordinary text.  A pre-token
+        that shares a key with another one shows by its second key; its text
+        is put together without the cache.
         """
         if self.slots > CACHE_LIMIT:
             self._forget()
         elif len(self.recent) > RECENT:
             self._merge()
-        start, end, count, key = keys(data, offsets)
+        start, end, count, key, check = keys(data, offsets)
         at = (key >> np.uint64(64 - FRONT_BITS)).astype(np.int64)
         slot = self.front_slot[at]
         miss = np.flatnonzero((slot < 0) | (self.front_key[at] != key))
@@ -208,18 +209,25 @@ class Pieces:
         if len(miss):
             uniq, where, inverse = np.unique(key[miss], return_index=True, return_inverse=True)
             w = miss[where]
-            slots = self._slots(uniq, start[w], end[w], raw)
+            slots = self._slots(uniq, check[w], start[w], end[w], raw)
             slot[miss] = slots[inverse]
             self.front_key[at[miss]], self.front_slot[at[miss]] = key[miss], slot[miss]
         size = self.size[slot]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.repeat(self.begin[slot] - (ends - size), size) + np.arange(total)]
-        text_end = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])]
-        if special and (hits := self.special_texts(raw, offsets)):
+        first = np.concatenate([[0], np.cumsum(count)])
+        text_end = np.concatenate([[0], ends])[first]
+        hits = self.special_texts(raw, offsets) if special else set()
+        other = np.flatnonzero(self.check[slot] != check)
+        mixed = set((np.searchsorted(first, other, "right") - 1).tolist())
+        if hits or mixed:
             parts = []
             for t in range(len(offsets) - 1):
-                if t in hits:
+                if t in mixed - hits:
+                    own = [i for k in range(first[t], first[t + 1]) for i in self.piece(raw[start[k] : end[k]])]
+                    parts.append(np.array(own, "<u4"))
+                elif t in hits:
                     text = raw[offsets[t] : offsets[t + 1]].decode("utf-8")
                     parts.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4"))
                 else:

@@ -19,29 +19,14 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C55  # odd, so invertible modulo 2**64
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_SAME = np.arange(256, dtype=np.uint8)
-_LOWER = _SAME.copy()
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_powers = np.ones(1, dtype=_U)
-_inverse = np.ones(1, dtype=_U)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i in 0..n, kept between calls."""
-    global _powers, _inverse
-    if len(_powers) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        with np.errstate(over="ignore"):
-            up, down = np.full(size, _BASE, dtype=_U), np.full(size, _BASE_INV, dtype=_U)
-            up[0] = down[0] = 1
-            _powers, _inverse = np.cumprod(up), np.cumprod(down)
-    return _powers, _inverse
+#: What of a block of 8 bytes belongs to a span of which 0 to 8 bytes are left.
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=_U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,6 +67,38 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         row = end
 
 
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on, as one integer; past the end there are zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def _keyed(block: np.ndarray, position: np.ndarray | int, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(block ^ mix(np.atleast_1d(np.asarray(position, _U)) + _U(seed)))
+
+
+def span_hash(block: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+    """64-bit hashes of byte spans, from the ``blocks`` of their bytes.
+
+    Each block of 8 bytes is mixed with its position in the span before the
+    sum is taken, so nothing is linear in the bytes: texts made to collide
+    under a polynomial do not collide here.
+    """
+    size = end - start
+    total = _keyed(block[start] & _LEFT[np.minimum(size, 8)], 0, seed)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3
+        first = np.cumsum(more) - more
+        at = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        left = np.repeat(size[long], more) - 8 * at
+        with np.errstate(over="ignore"):
+            total[long] += np.add.reduceat(_keyed(block[np.repeat(start[long], more) + 8 * at] & _LEFT[np.minimum(left, 8)], at, seed), first)
+    with np.errstate(over="ignore"):
+        return mix(total + size.astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
 class Words:
     """Words of all texts of a slice: byte spans, 64-bit hashes, and per-text offsets."""
 
@@ -102,14 +119,12 @@ class Words:
         #: Word number at which each text begins, and the total.
         self.offsets = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.offsets)
-        self._prefix, self._down = prefix_hash(data, lower)
+        self._blocks = blocks(_LOWER[data] if lower else data)
         self.hash = self.span_hash(self.start, self.end)
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of the byte spans; equal spans have equal hashes."""
-        with np.errstate(over="ignore"):
-            h = (self._prefix[end] - self._prefix[start]) * self._down[start]
-            return mix(h + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+        return span_hash(self._blocks, start, end)
 
     def texts(self) -> np.ndarray:
         """The text number of each word."""
@@ -145,15 +160,6 @@ class Words:
 _MULT = [(0xC2B2AE3D27D4EB4F * (2 * j + 1) + 0x165667B19E3779F9 * j * (j + 1)) % (1 << 64) | 1 for j in range(64)]
 
 
-def prefix_hash(data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of byte * base**i, from which any span's hash is a difference."""
-    up, down = _tables(len(data))
-    with np.errstate(over="ignore"):
-        prefix = np.zeros(len(data) + 1, _U)
-        np.cumsum(((_LOWER if lower else _SAME)[data].astype(_U) + _U(1)) * up[: len(data)], out=prefix[1:])
-    return prefix, down
-
-
 def text_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of ``values`` between consecutive offsets (empty runs: 0)."""
     total = np.concatenate([np.zeros(1, np.result_type(values.dtype, np.int64) if values.dtype.kind in "bui" else values.dtype), np.cumsum(values, dtype=np.int64 if values.dtype.kind in "bui" else values.dtype)])

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.spill import bounded_broadcast
-from tessera.llm.textvec import Words, mix, prefix_hash, slices, text_bytes
+from tessera.llm.textvec import Words, mix, slices, text_bytes
 from tessera.llm.worker import held
 
 BUCKET_BITS = 18
@@ -68,12 +68,14 @@ def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray, word_hash: np
     line = np.where((line >= 65) & (line <= 90), line + 32, line).astype(np.uint8)
     line[first] = line[first + size + 1] = 32
     word = np.repeat(np.arange(len(size)), size + 2)
-    prefix, down = prefix_hash(line)
     found, owner = [(word_hash >> _SHIFT).astype(np.int64)], [np.arange(len(size))]
     for n in NGRAMS:
         i = np.flatnonzero(word[: total - n + 1] == word[n - 1 :]) if total >= n else np.zeros(0, np.int64)
+        gram = np.zeros(len(i), np.uint64)
+        for k in range(n):
+            gram = (gram << np.uint64(8)) | line[i + k]
         with np.errstate(over="ignore"):
-            h = mix((prefix[i + n] - prefix[i]) * down[i] + np.uint64(n * 0x9E3779B97F4A7C15 % 2**64))
+            h = mix(gram + np.uint64(n * 0x9E3779B97F4A7C15 % 2**64))
         found.append((h >> _SHIFT).astype(np.int64))
         owner.append(word[i])
     return np.concatenate(found), np.concatenate(owner)

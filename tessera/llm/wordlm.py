@@ -1,11 +1,18 @@
 """Word n-gram models whose tables grow with the corpus.
 
-Words are 64-bit hashes of their bytes as they are, without folding.  Spark
-counts all pairs of neighbouring words (``pair_counts``), and smooths them by
+Words are 64-bit hashes of their bytes as they are, without folding.  A word
+stands after a history: the start of a text, one of the ``HISTORIES`` most
+frequent words of the corpus, or any other word.  Spark counts all pairs of
+history and word, and keeps every one of them; there is no cut-off, and the
+table grows with the vocabulary of the corpus.  Pairs are smoothed by
 interpolated modified Kneser-Ney of order 2: discounts come from counts of
-counts, lower-order probabilities from the number of different words before a
-word.  Only counts of counts and totals reach the driver; every pair is kept,
-with its log probabilities, in a table in the shared folder.
+counts, lower-order probabilities from the number of different histories of a
+word.  What reaches the driver are totals by history and by number of
+histories, ``HISTORIES`` + 2 rows at most.
+
+Why histories are grouped: pairs of any two words grow almost as the tokens
+(12.5 M different ones in 27 M words of the check's 0.1 GB table), and a
+table that large costs seven times the input in shuffles.
 
 Scoring joins per-document frequencies to that table: the most frequent keys,
 at most ``HEAD_LIMIT``, are broadcast, all others are joined by a shuffle.
@@ -13,60 +20,75 @@ at most ``HEAD_LIMIT``, are broadcast, all others are joined by a shuffle.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.spill import bounded_broadcast, saved
-from tessera.llm.textvec import Words, signed, slices
+from tessera.llm.spill import saved
+from tessera.llm.textvec import Words, mix, signed, slices
 from tessera.llm.token_counts import Lookup, frequent
 from tessera.llm.worker import held
 
+#: Words that are histories of their own.
+HISTORIES = 255
 #: Rows of the frequent keys that are broadcast, at most (16 bytes each for two models).
 HEAD_LIMIT = 1 << 19
 #: Words that a task holds before it passes their counts on.
-TASK_WORDS = 1 << 21
-#: Words whose continuation counts are broadcast at most; more are joined by a shuffle.
-MAX_WORDS = 500_000
+TASK_WORDS = 1 << 22
+
+START, OTHER = 0, 1  # histories before the frequent words
+
 
+def frequent_words(table: DataFrame, k: int = HISTORIES) -> np.ndarray:
+    """The ``k`` most frequent words (ties: by key) of ``word_counts``, sorted."""
+    top = table.orderBy(F.desc("total"), "key").limit(k).select("key").collect()
+    return np.sort(np.array([r["key"] for r in top], np.int64).view(np.uint64))
+
+
+def histories(words: Words, known: np.ndarray) -> np.ndarray:
+    """The history of each word: its number in ``known`` and 2, or ``START`` or ``OTHER``."""
+    own = np.full(len(words.hash), OTHER, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, words.hash), len(known) - 1)
+        hit = known[at] == words.hash
+        own[hit] = at[hit] + 2
+    out = np.full_like(own, START)
+    out[1:] = own[:-1]
+    out[words.offsets[:-1][words.count > 0]] = START
+    return out
 
-def word_pairs(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(before, word) hashes of each word; the first word of a text stands after 0."""
-    before = np.zeros_like(words.hash)
-    before[1:] = words.hash[:-1]
-    before[words.offsets[:-1][words.count > 0]] = 0
-    return before, words.hash
 
+_OF_HISTORY = mix(np.arange(1, 1 << 12, dtype=np.uint64))
 
-def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return ((before << np.uint64(1)) | (before >> np.uint64(63))) ^ word
 
+def pair_key(word: np.ndarray, history: np.ndarray) -> np.ndarray:
+    """One key for a word after a history."""
+    return word ^ _OF_HISTORY[history]
 
-def _pair_key():
-    """``pair_key`` of the columns v and w."""
-    return F.shiftleft("v", 1).bitwiseOR(F.shiftrightunsigned("v", 63)).bitwiseXOR(F.col("w"))
 
+def _by_history(values):
+    """The value of column h in a list by history."""
+    return F.element_at(F.array(*map(F.lit, values)), F.col("h") + 1)
 
-def _counter(n_models: int):
+
+def _counter(n_models: int, known: np.ndarray):
     def count(batches):
         parts, n = [], 0
 
         def flush():
-            v, w = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-            _, first, inverse = np.unique(pair_key(v, w), return_index=True, return_inverse=True)
+            w, h = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            _, first, inverse = np.unique(pair_key(w, h), return_index=True, return_inverse=True)
             counts = [np.bincount(inverse)] + [np.bincount(inverse, np.concatenate([p[2][k] for p in parts])) for k in range(n_models - 1)]
             for lo in range(0, len(first), 100_000):
                 at = first[lo : lo + 100_000]
-                yield pa.record_batch([pa.array(signed(v[at])), pa.array(signed(w[at])), *(pa.array(c[lo : lo + 100_000].astype(np.int64)) for c in counts)], names=["v", "w", *(f"n{k}" for k in range(n_models))])
+                yield pa.record_batch([pa.array(signed(w[at])), pa.array(h[at].astype(np.int32)), *(pa.array(c[lo : lo + 100_000].astype(np.int64)) for c in counts)], names=["w", "h", *(f"n{k}" for k in range(n_models))])
 
         for batch in batches:
             for rows, data, offsets in slices(batch):
                 words = Words(data, offsets)
                 marks = [np.repeat(rows.column(k).to_numpy(zero_copy_only=False).astype(bool), words.count) for k in range(1, n_models)]
-                parts.append((*word_pairs(words), marks))
+                parts.append((words.hash, histories(words, known), marks))
                 n += len(words.hash)
                 if n >= TASK_WORDS:
                     yield from flush()
@@ -77,38 +99,26 @@ def _counter(n_models: int):
     return count
 
 
-def pair_counts(docs: DataFrame, members: list[str] = ()) -> DataFrame:
-    """(v, w, n0, n1, ...) of all pairs, over all texts and over those that each boolean column marks.
+def pair_counts(docs: DataFrame, known: np.ndarray, members: list[str] = ()) -> DataFrame:
+    """(w, h, n0, n1, ..., c0, c1, ...) of all pairs, over all texts and over those that each boolean column marks.
 
-    With the totals of each context v: t0, and o0_1, o0_2, o0_3 pairs that occur once, twice and more often.
+    c0, c1, ... are the numbers of different histories of the word.
     """
     n = 1 + len(members)
-    schema = "v bigint, w bigint, " + ", ".join(f"n{k} bigint" for k in range(n))
-    found = docs.select(F.coalesce("text", F.lit("")).alias("text"), *members).mapInArrow(_counter(n), schema)
-    # dealt by context, so that its totals need no further shuffle
-    pairs = found.repartition(F.col("v")).groupBy("v", "w").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(n)))
-    context = Window.partitionBy("v")
-    totals = {}
-    for k in range(n):
-        totals[f"t{k}"] = F.sum(f"n{k}").over(context)
-        for c, is_c in ((1, F.col(f"n{k}") == 1), (2, F.col(f"n{k}") == 2), (3, F.col(f"n{k}") > 2)):
-            totals[f"o{k}_{c}"] = F.count(F.when(is_c, 1)).over(context)
-    return pairs.select("*", *(c.alias(name) for name, c in totals.items()))
-
-
-def _discounts(counts: DataFrame, columns: list[str]) -> list[tuple[int, list[float], list[int]]]:
-    """Of each count column: its total, D1, D2, D3+ and how many rows have 1, 2 and more."""
-    row = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_t") for c in columns), *(F.count(F.when(F.col(c) > 2, 1)).alias(f"{c}_m") for c in columns), *(F.count(F.when(F.col(c) == k, 1)).alias(f"{c}_{k}") for c in columns for k in (1, 2, 3, 4))).first()
-    out = []
-    for c in columns:
-        n1, n2, n3, n4 = (row[f"{c}_{k}"] for k in (1, 2, 3, 4))
-        d = [0.5, 1.0, 1.5]  # too few rare ones to estimate from
-        if min(n1, n2, n3, n4) > 0:
-            y = n1 / (n1 + 2 * n2)
-            d = [min(max(x, 0.01), k) for k, x in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), 1)]
-            d = [float(x) for x in d]
-        out.append((row[f"{c}_t"], d, [n1, n2, row[f"{c}_m"]]))
-    return out
+    schema = "w bigint, h int, " + ", ".join(f"n{k} bigint" for k in range(n))
+    found = docs.select(F.coalesce("text", F.lit("")).alias("text"), *members).mapInArrow(_counter(n, known), schema)
+    # dealt by word: a word has at most as many rows as there are histories, so no group is large
+    pairs = found.repartition(F.col("w")).groupBy("w", "h").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(n)))
+    word = Window.partitionBy("w")
+    return pairs.select("*", *(F.count(F.when(F.col(f"n{k}") > 0, 1)).over(word).alias(f"c{k}") for k in range(n)))
+
+
+def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """D1, D2, D3+ of modified Kneser-Ney."""
+    if min(n1, n2, n3, n4) == 0:  # too few rare ones to estimate from
+        return [0.5, 1.0, 1.5]
+    y = n1 / (n1 + 2 * n2)
+    return [float(min(max(x, 0.01), k)) for k, x in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), 1)]
 
 
 def _discounted(count, d: list[float]):
@@ -116,29 +126,31 @@ def _discounted(count, d: list[float]):
     return F.when(count > 2, count - d[2]).when(count == 2, count - d[1]).when(count == 1, count - d[0]).otherwise(0.0)
 
 
-def pair_model(counts: DataFrame) -> DataFrame:
-    """(key, total, p0, p1, ...): the log probability of each pair of saved ``pair_counts`` in each model.
+def pair_model(counts: DataFrame, n_histories: int) -> DataFrame:
+    """(key, total, p0, p1, ...): the log probability of each pair of saved ``pair_counts`` in each model; a narrow pass.
 
     All models have one vocabulary: the words of the corpus and one unknown word.
     """
     names = [c for c in counts.columns if c[0] == "n"]
-    before = counts.groupBy("w").agg(*(F.count(F.when(F.col(c) > 0, 1)).alias(f"c{c[1:]}") for c in names))
-    before = saved(before, "word-continuations")
-    vocabulary = before.count() + 1
-    upper, lower = _discounts(counts, names), _discounts(before, [f"c{c[1:]}" for c in names])
-    word = []
-    for k, (total, d, rows) in enumerate(lower):
-        held_back = sum(x * r for x, r in zip(d, rows, strict=True))
-        p = (_discounted(F.col(f"c{k}"), d) + F.lit(held_back / vocabulary)) / F.lit(float(total)) if total else F.lit(1.0 / vocabulary)
-        word.append(p.alias(f"l{k}"))
-    # the few columns that the join's shuffle has to move: key, word, share and back-off weight
-    share = []
-    for k, (_, d, _) in enumerate(upper):
-        t = F.col(f"t{k}")
-        back = reduce(lambda a, b: a + b, (F.col(f"o{k}_{i}") * x for i, x in enumerate(d, 1)))
-        share.append(F.struct(F.when(t > 0, _discounted(F.col(f"n{k}"), d) / t).otherwise(0.0).cast("float").alias("s"), F.when(t > 0, back / t).otherwise(1.0).cast("float").alias("b")).alias(f"m{k}"))
-    joined = counts.select("w", _pair_key().alias("key"), F.col("n0").alias("total"), *share).join(bounded_broadcast(before.select("w", *word), MAX_WORDS), "w")
-    return joined.select("key", "total", *(F.log(F.col(f"m{k}.s") + F.col(f"m{k}.b") * F.col(f"l{k}")).cast("float").alias(f"p{k}") for k in range(len(names))))
+    per = [(F.sum(c), F.count(F.when(F.col(c) == 1, 1)), F.count(F.when(F.col(c) == 2, 1)), F.count(F.when(F.col(c) > 2, 1)), F.count(F.when(F.col(c) == 3, 1)), F.count(F.when(F.col(c) == 4, 1))) for c in names]
+    contexts = {r["h"]: r for r in counts.groupBy("h").agg(*(x.alias(f"x{k}_{i}") for k, xs in enumerate(per) for i, x in enumerate(xs))).collect()}
+    # a word with c histories has c rows that count, so words are rows / c
+    words = {k: {r["c"]: r["n"] // r["c"] for r in counts.where(F.col(f"n{k}") > 0).groupBy(F.col(f"c{k}").alias("c")).agg(F.count("*").alias("n")).collect()} for k in range(len(names))}
+    vocabulary = sum(words[0].values()) + 1
+    out = []
+    for k, name in enumerate(names):
+        of = lambda h, i, k=k: contexts[h][f"x{k}_{i}"] or 0 if h in contexts else 0
+        everywhere = range(n_histories + 2)
+        upper = _discounts(*(sum(of(h, i) for h in everywhere) for i in (1, 2, 4, 5)))
+        lower = _discounts(*(words[k].get(c, 0) for c in (1, 2, 3, 4)))
+        total = sum(c * n for c, n in words[k].items())
+        spare = sum(lower[min(c, 3) - 1] * n for c, n in words[k].items()) / vocabulary
+        low = (_discounted(F.col(f"c{k}"), lower) + F.lit(spare)) / F.lit(float(total)) if total else F.lit(1.0 / vocabulary)
+        share = [1.0 / of(h, 0) if of(h, 0) else 0.0 for h in everywhere]
+        back = [sum(d * of(h, i) for i, d in enumerate(upper, 1)) / of(h, 0) if of(h, 0) else 1.0 for h in everywhere]
+        out.append(F.log(_discounted(F.col(name), upper) * _by_history(share) + _by_history(back) * low).cast("float").alias(f"p{k}"))
+    key = F.col("w").bitwiseXOR(_by_history([int(x) for x in _OF_HISTORY[: n_histories + 2].view(np.int64)]))
+    return counts.select(key.alias("key"), F.col("n0").alias("total"), *out)
 
 
 def _word_counter(batches):
@@ -176,7 +188,7 @@ def frequency_lists(text: np.ndarray, key: np.ndarray, n: int) -> list[pa.Array]
     return [pa.ListArray.from_arrays(off, pa.array(signed(key[first]))), pa.ListArray.from_arrays(off, pa.array(freq.astype(np.int32)))]
 
 
-def _sum_head(head, name):
+def _sum_head(head, name, known: np.ndarray):
     def score(batches):
         from pyspark import TaskContext
 
@@ -186,11 +198,11 @@ def _sum_head(head, name):
         for batch in batches:
             for rows, data, offsets in slices(batch, limit=1 << 19):
                 n, words = len(offsets) - 1, Words(data, offsets)
-                text, key = words.texts(), pair_key(*word_pairs(words))
-                at = lookup.find(key)
-                known = at >= 0
-                sums = [np.bincount(text[known], v[lookup.value[at[known]]], n).astype(np.float64) for v in values]
-                tail = frequency_lists(text[~known], key[~known], n)
+                text, key_ = words.texts(), pair_key(words.hash, histories(words, known))
+                at = lookup.find(key_)
+                found = at >= 0
+                sums = [np.bincount(text[found], v[lookup.value[at[found]]], n).astype(np.float64) for v in values]
+                tail = frequency_lists(text[~found], key_[~found], n)
                 columns = [pa.array(row + np.arange(n)), rows.column(0).cast(pa.int64()), pa.array(words.count), *(pa.array(s) for s in sums)]
                 yield pa.record_batch([*columns, *tail], names=["row", "doc_id", "n_tokens", *(f"h{k}" for k in range(len(values))), "keys", "freqs"])
                 row += n
@@ -198,8 +210,8 @@ def _sum_head(head, name):
     return score
 
 
-def text_log_probs(docs: DataFrame, model: DataFrame, head_limit: int = HEAD_LIMIT) -> DataFrame:
-    """(doc_id, n_tokens, p0, ...): summed log probabilities of each row's words under the saved ``pair_model``."""
+def text_log_probs(docs: DataFrame, model: DataFrame, known: np.ndarray, head_limit: int = HEAD_LIMIT) -> DataFrame:
+    """(doc_id, n_tokens, p0, ...): summed log probabilities of each row's words under a ``pair_model``."""
     sc = docs.sparkSession.sparkContext
     names = [c for c in model.columns if c[0] == "p"]
     least = frequent(model, head_limit)
@@ -207,7 +219,7 @@ def text_log_probs(docs: DataFrame, model: DataFrame, head_limit: int = HEAD_LIM
     head = sc.broadcast((top["key"].to_numpy().view(np.uint64), *(top[c].to_numpy().astype(np.float64) for c in names)))
     name = f"{sc.applicationId}-{head._jbroadcast.id()}"
     schema = "row bigint, doc_id bigint, n_tokens bigint, " + ", ".join(f"h{k} double" for k in range(len(names))) + ", keys array<bigint>, freqs array<int>"
-    sums = saved(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_sum_head(head, name), schema), "pair-sums")
+    sums = saved(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_sum_head(head, name, known), schema), "pair-sums")
     rare = sums.select("row", F.explode(F.arrays_zip("keys", "freqs")).alias("z")).select("row", F.col("z.keys").alias("key"), F.col("z.freqs").alias("n"))
-    tail = rare.join(model.where(F.col("total") < least), "key").groupBy("row").agg(*(F.sum(F.col("n") * F.col(c)).alias(c) for c in names))
+    tail = rare.join(model.where(F.col("total") < least).select("key", *names), "key").groupBy("row").agg(*(F.sum(F.col("n") * F.col(c)).alias(c) for c in names))
     return sums.drop("keys", "freqs").join(tail, "row", "left").select("doc_id", "n_tokens", *((F.col(f"h{k}") + F.coalesce(c, F.lit(0.0))).alias(c) for k, c in enumerate(names)))

@@ -31,6 +31,14 @@ def prose(seed, n, vocabulary=400):
     return " ".join(rng.choice(names) for _ in range(n))
 
 
+def twins(n):
+    """Two words of ``n`` letters that collide under every polynomial modulo 2**64 with an odd base."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
 ODD_ROWS = [
     (1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu.\nsecond line here", "en", "s1"),
     (1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu.\nsecond line here", "en", "s1"),
@@ -43,6 +51,7 @@ ODD_ROWS = [
     (7, "é世界 <|endoftext|>   x" * 3, "zz", "s3"),
     (8, prose(1, 60), "de", "s2"),
     (9, "\x00 odd\x01 \U0001f600 </s>", "en", "s3"),
+    *((10 + i, f"{w}\n{v}\n{w}", "en", "s1") for i, (v, w) in enumerate([twins(1024), twins(1024)[::-1], twins(2048), twins(2048)[::-1]])),
 ]
 
 
