@@ -2,23 +2,33 @@
 
 Lines are parsed by a tree of fixed depth: the number of tokens, then the
 leading ``DEPTH`` tokens, where a token with a digit is a variable field
-``<*>``.  A leaf's template keeps at each position the token that more than half
-of its different lines have there, and ``<*>`` elsewhere.  A line belongs to
-the template if at least ``SIMILARITY`` of its tokens are the template's; else
-the line is a template of its own.  Templates found in at least ``MIN_DOCS``
-documents are recurring, and their lines are dropped from every document.
-With ``long_tokens``, templates of that many tokens or more recur from
-``LONG_DOCS`` documents on; below ``MIN_DOCS`` one document keeps its lines.
-
-The tree is built from pre-aggregated counts: equal lines meet once, token
-counts are summed before they are shuffled, and only lines of leaves that hold
-different lines of different documents are looked into.  No leaf is gathered in
-one task.
+``<*>``.  A leaf holds many templates, found without any order of arrival:
+
+* the line itself;
+* the leaf's majority: at each position the token that more than half of the
+  leaf's different lines have there; it covers lines that share at least
+  ``SIMILARITY`` of their tokens with it;
+* lines that differ in one field only: for every window of ``1 - SIMILARITY`` of
+  the tokens behind the leading ones (in steps of half a window), the lines
+  that are equal outside that window are one template.
+
+A template needs a constant token: columns of figures are no template.
+Templates found in at least ``MIN_DOCS`` documents are recurring, and their lines
+are dropped from every document.  With ``long_tokens``, templates of that many
+tokens or more recur from ``LONG_DOCS`` documents on; below ``MIN_DOCS`` the document
+of least ``doc_id`` keeps its lines.
+
+Texts are normalised and masked by two replacements before they are cut into
+lines, so a line is split into tokens only if its leaf holds different lines of
+different documents.  Counts are summed before they are shuffled; a very common
+line is counted by (line, document) and never gathered; no leaf is gathered in
+one task.  Documents and lines are known by 128 bits.
 
 Defined results for odd input: a null text stays null and has no lines; lines
-without tokens are never dropped; a line counts once per document; rows that
-repeat both ``doc_id`` and text count as one document and are treated alike; an
-empty table gives no rows; extra columns pass through.
+without tokens, or with variable fields only, are never dropped; a line counts
+once per document; rows that repeat both ``doc_id`` and text count as one
+document and are treated alike; an empty table gives no rows; extra columns
+pass through.
 """
 
 from __future__ import annotations
@@ -32,53 +42,95 @@ DEPTH = 3
 SIMILARITY = 0.8
 MIN_DOCS = 3
 LONG_DOCS = 2
-#: Leaf keys that are broadcast to pick the lines to look into, and recurring templates
-#: to pick the lines to drop (16 MB each); more are joined by a shuffle.
-MAX_LEAVES = 2_000_000
+#: Leaf keys that are broadcast to pick the lines to look into, and recurring lines to drop
+#: (24 bytes each before Spark hashes them); more are joined by a shuffle.
+MAX_LEAVES = 1_000_000
 
-_WORD = r"[^\x20\x09-\x0D]+"
+_FIELD = "<*>"
+_LINE = ["leaf", "a", "b"]
+
+
+def _doc_key():
+    """A document's 128 bits."""
+    return F.xxhash64("doc_id", "text").alias("d1"), F.xxhash64(F.lit("document"), "doc_id", "text").alias("d2")
 
 
 def parsed_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(doc, pos, tokens, leaf) of every line with tokens; ``doc`` is a hash of id and text."""
-    lines = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    found = F.regexp_extract_all("line", F.lit(_WORD), 0)
-    masked = F.when(F.col("line").rlike("[0-9]"), F.transform(found, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))).otherwise(found)
-    parsed = lines.select("doc", "pos", masked.alias("tokens")).where(F.size("tokens") > 0)
-    return parsed.select("doc", "pos", "tokens", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"))
-
-
-def template_members(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(leaf, line) of the different lines that their leaf's template covers."""
-    words = lines.select("leaf", "tokens").distinct().withColumn("line", F.xxhash64("tokens"))
-    placed = words.select("leaf", "line", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token"))
+    """(doc_id, d1, d2, pos, line, n, leaf, a, b) of every line that has a constant token.
+
+    ``line`` has one blank between tokens and ``<*>`` for each token with a digit.
+    """
+    plain = F.regexp_replace("text", r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+    masked = F.regexp_replace(plain, r"(?<![^\x20\n])[^\x20\n0-9]*+[0-9][^\x20\n]*+", _FIELD)
+    lines = docs.select("doc_id", *_doc_key(), F.posexplode(F.split(masked, "\n", -1)).alias("pos", "line"))
+    lines = lines.select("doc_id", "d1", "d2", "pos", F.trim("line").alias("line"))
+    blank, none = F.lit(" "), F.lit("")
+    n = F.length("line") - F.length(F.replace("line", blank, none)) + 1
+    lines = lines.where(F.replace(F.replace("line", F.lit(_FIELD), none), blank, none) != "").withColumn("n", n)
+    leaf = F.xxhash64("n", F.substring_index("line", " ", depth))
+    return lines.select("*", leaf.alias("leaf"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"))
+
+
+def _majority(lines: DataFrame, similarity: float) -> DataFrame:
+    """(leaf, t, a, b) of the lines that their leaf's majority covers."""
+    placed = lines.select(*_LINE, "n", F.posexplode(F.split("line", " ", -1)).alias("pos", "token"))
     counts = placed.groupBy("leaf", "pos", "token").agg(F.count("*").alias("c"))
-    sizes = words.groupBy("leaf").agg(F.count("*").alias("lines"))
-    kept = counts.join(sizes, "leaf").where("2 * c > lines").select("leaf", "pos", "token")
-    alike = placed.join(kept, ["leaf", "pos", "token"]).groupBy("leaf", "line").agg(F.count("*").alias("same"), F.first("n").alias("n"))
-    return alike.where(F.col("same") >= F.lit(similarity) * F.col("n")).select("leaf", "line")
+    sizes = lines.groupBy("leaf").agg(F.count("*").alias("lines"))
+    kept = saved(counts.join(sizes, "leaf").where("2 * c > lines").select("leaf", "pos", "token"), "majorities")
+    alike = placed.join(bounded_broadcast(kept, MAX_LEAVES), ["leaf", "pos", "token"]).groupBy(*_LINE).agg(F.count("*").alias("same"), F.count(F.when(F.col("token") != _FIELD, 1)).alias("fixed"), F.first("n").alias("n"))
+    return alike.where((F.col("same") >= F.lit(similarity) * F.col("n") - 1e-9) & (F.col("fixed") > 0)).select("leaf", F.lit(0).cast("bigint").alias("t"), "a", "b")
+
+
+def _windows(lines: DataFrame, similarity: float, depth: int) -> DataFrame:
+    """(leaf, t, a, b): each line under what is left of it without one window; only templates of two lines or more."""
+    size = F.floor(F.lit(1 - similarity + 1e-9) * F.col("n")).cast("int")
+    wide = lines.select(*_LINE, "line", "n", size.alias("m")).where((F.col("m") > 0) & (F.col("n") > depth))
+    last = F.col("n") - F.col("m") + 1
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(depth + 1), last, F.greatest(F.lit(1), F.expr("m div 2"))), F.array(last)))
+    cut = wide.where(last > depth).select(*_LINE, "line", "n", "m", F.explode(starts).alias("s"))
+    left = F.expr("substring_index(line, ' ', s - 1)")
+    right = F.expr("CASE WHEN n - s - m + 1 > 0 THEN substring_index(line, ' ', -(n - s - m + 1)) ELSE '' END")
+    cut = cut.select(*_LINE, "s", left.alias("left"), right.alias("right")).where(F.replace(F.replace(F.concat("left", "right"), F.lit(_FIELD), F.lit("")), F.lit(" "), F.lit("")) != "")
+    keyed = saved(cut.select("leaf", F.xxhash64("s", "left", "right").alias("t"), "a", "b"), "line-windows")
+    shared = keyed.groupBy("leaf", "t").agg(F.count("*").alias("c")).where("c > 1").select("leaf", "t")
+    return keyed.join(saved(shared, "shared-windows"), ["leaf", "t"]).select("leaf", "t", "a", "b")
 
 
 def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, long_tokens: int | None = None) -> DataFrame:
-    """(doc, drop): for each document with recurring lines, their sorted positions."""
-    docs = docs.select("doc_id", "text")
-    is_long = [] if long_tokens is None else [(F.size("tokens") >= long_tokens).alias("long")]
-    rows = saved(parsed_lines(docs, depth).select("doc", "pos", "leaf", F.xxhash64("tokens").alias("line"), *is_long), "line-keys")
-    leaves = rows.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.min("doc").alias("c"), F.max("doc").alias("d"))
-    mixed = saved(leaves.where("a <> b and c <> d").select("leaf"), "mixed-leaves")
-    inside = saved(parsed_lines(docs, depth).join(bounded_broadcast(mixed, MAX_LEAVES), "leaf", "left_semi").select("leaf", "tokens").distinct(), "leaf-lines")
-    members = template_members(inside, similarity).withColumn("shared", F.lit(True))
-    # a line is known by its own hash, or by its leaf's if the template covers it
-    named = rows.join(members, ["leaf", "line"], "left").select("doc", "pos", F.when(F.col("shared"), F.xxhash64(F.lit("leaf"), "leaf")).otherwise(F.xxhash64("leaf", "line")).alias("template"), *(["long"] if is_long else []))
-    named = saved(named, "line-templates")
-    recurring = named.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
-    recurring = bounded_broadcast(saved(recurring, "recurring-templates"), MAX_LEAVES)
-    found = named.join(recurring, "template", "left_semi").select("doc", "pos")
-    if is_long:
-        twice = named.where("long").select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("doc").alias("keeps"))
-        twice = saved(twice.where((F.col("n") >= LONG_DOCS) & (F.col("n") < min_docs)).select("template", "keeps"), "long-templates")
-        found = found.union(named.join(bounded_broadcast(twice, MAX_LEAVES), "template").where("doc <> keeps").select("doc", "pos"))
-    return found.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
+    """(d1, d2, drop): for each document with recurring lines, their sorted positions."""
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id") if dict(docs.dtypes)["doc_id"] == "void" else "doc_id", "text")
+    is_long = F.lit(False) if long_tokens is None else F.col("n") >= long_tokens
+    rows = saved(parsed_lines(docs, depth).select("doc_id", "d1", "d2", "pos", *_LINE, is_long.alias("long")), "line-keys")
+    least = F.when(F.col("long"), min(LONG_DOCS, min_docs)).otherwise(min_docs)
+    once = rows.groupBy(*_LINE, "long", "d1").agg(F.min("doc_id").alias("doc_id"))
+    lines = once.groupBy(*_LINE, "long").agg(F.count("*").alias("docs"), F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.min(F.struct("doc_id", "d1")).alias("keep"))
+    lines = saved(lines, "line-documents")
+    leaves = lines.groupBy("leaf", "long").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    mixed = saved(leaves.where((F.col("lines") > 1) & (F.col("lo") != F.col("hi")) & (F.col("docs") >= least)).select("leaf").distinct(), "mixed-leaves")
+    inside = parsed_lines(docs, depth).join(bounded_broadcast(mixed, MAX_LEAVES), "leaf", "left_semi").groupBy(*_LINE).agg(F.first("line").alias("line"), F.first("n").alias("n"))
+    inside = saved(inside, "leaf-lines")
+    members = _majority(inside, similarity).union(_windows(inside, similarity, depth))
+    members = saved(members.join(lines, _LINE), "template-lines")
+    # a line in fewer than three documents has no others than its first and last, so lines are not gathered
+    few = members.where(F.col("docs") < min_docs)
+    own = few.select("leaf", "t", F.explode(F.array("lo", "hi")).alias("d1"))
+    if min_docs > 3:
+        own = few.select("leaf", "t", "a", "b").join(rows.select(*_LINE, "d1"), _LINE).select("leaf", "t", "d1")
+    several = own.distinct().groupBy("leaf", "t").agg(F.count("*").alias("all"))
+    templates = members.groupBy("leaf", "t", "long").agg(F.max("docs").alias("most"), F.min("keep").alias("keep")).join(several, ["leaf", "t"], "left")
+    templates = saved(templates.select("leaf", "t", "long", "keep", F.greatest("most", F.coalesce("all", F.lit(0))).alias("docs")).where(F.col("docs") >= least), "recurring-templates")
+
+    everywhere = lines.where(F.col("docs") >= min_docs).select(*_LINE)
+    recurring = members.select("leaf", "t", "a", "b").join(templates.withColumnRenamed("docs", "all"), ["leaf", "t"])
+    everywhere = everywhere.union(recurring.where(F.col("all") >= min_docs).select(*_LINE)).distinct()
+    found = rows.join(bounded_broadcast(saved(everywhere, "recurring-lines"), MAX_LEAVES), _LINE, "left_semi").select("d1", "d2", "pos")
+    if long_tokens is not None:
+        # below min_docs, the document of least id keeps its lines
+        below = lines.where(F.col("long") & (F.col("docs") >= LONG_DOCS) & (F.col("docs") < min_docs)).select(*_LINE, "keep")
+        below = below.union(recurring.where(F.col("all") < min_docs).select(*_LINE, "keep"))
+        twice = rows.where("long").join(bounded_broadcast(saved(below, "long-lines"), MAX_LEAVES), _LINE).where(F.col("keep.d1") != F.col("d1")).select("d1", "d2", "pos")
+        found = found.union(twice)
+    return found.groupBy("d1", "d2").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 
 def without_recurring_lines(docs: DataFrame, **knobs) -> DataFrame:
@@ -87,9 +139,9 @@ def without_recurring_lines(docs: DataFrame, **knobs) -> DataFrame:
     Columns of ``docs`` that already have one of these two names are replaced.
     """
     docs = docs.drop("_n_lines", "_n_dropped")
-    drop = dropped_lines(docs, **knobs).select(F.col("doc").alias("k"), "drop")
-    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("r"), F.xxhash64("doc_id", "text").alias("k"))
-    joined = keyed.join(drop, "k", "left")
+    drop = dropped_lines(docs, **knobs)
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("r"), *_doc_key())
+    joined = keyed.join(drop, ["d1", "d2"], "left")
     lines = F.split("r.text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n")
     text = F.when(F.col("drop").isNull(), F.col("r.text")).otherwise(kept)

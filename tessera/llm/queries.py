@@ -39,7 +39,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.without_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.without_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), long_tokens=50)
     return out.select(
         "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )
@@ -94,17 +94,20 @@ FROM m GROUP BY conv_id
 
 OP5_SQL = r"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
-t AS (SELECT doc_id, pos, line, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tok FROM l),
-k AS (SELECT doc_id, pos, tok, len(tok) AS n, tok[1:3] AS lead FROM t WHERE len(tok) > 0),
+t AS (SELECT doc_id, pos, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tok FROM l),
+k AS (SELECT doc_id, pos, tok, len(tok) AS n, tok[1:3] AS lead FROM t WHERE len(list_filter(tok, lambda x: x <> '<*>')) > 0),
 u AS (SELECT DISTINCT n, lead, tok FROM k),
 sz AS (SELECT n, lead, count(*) AS lines FROM u GROUP BY ALL),
 e AS (SELECT n, lead, tok, unnest(tok) AS token, generate_subscripts(tok, 1) AS p FROM u),
 c AS (SELECT n, lead, p, token, count(*) AS c FROM e GROUP BY ALL),
 m AS (SELECT c.n, c.lead, p, token FROM c JOIN sz ON sz.n = c.n AND sz.lead = c.lead WHERE 2 * c > lines),
-a AS (SELECT e.n, e.lead, e.tok FROM e JOIN m ON m.n = e.n AND m.lead = e.lead AND m.p = e.p AND m.token = e.token GROUP BY ALL HAVING 10 * count(*) >= 8 * e.n),
-g AS (SELECT k.doc_id, k.pos, k.n, k.lead, CASE WHEN a.tok IS NULL THEN k.tok END AS own FROM k LEFT JOIN a ON a.n = k.n AND a.lead = k.lead AND a.tok = k.tok),
-r AS (SELECT n, lead, own FROM g GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
-x AS (SELECT DISTINCT g.doc_id, g.pos FROM g JOIN r ON g.n = r.n AND g.lead = r.lead AND g.own IS NOT DISTINCT FROM r.own),
+a AS (SELECT e.n, e.lead, e.tok FROM e JOIN m ON m.n = e.n AND m.lead = e.lead AND m.p = e.p AND m.token = e.token GROUP BY ALL HAVING 10 * count(*) >= 8 * e.n AND count(*) FILTER (e.token <> '<*>') > 0),
+s AS (SELECT n, tok, n // 5 AS m, unnest(list_distinct(list_append(range(4, n - n // 5 + 2, greatest(1, n // 5 // 2)), n - n // 5 + 1))) AS s FROM u WHERE n >= 5),
+w AS (SELECT n, tok, s, tok[1:s - 1] || tok[s + m:n] AS rest FROM s WHERE len(list_filter(tok[1:s - 1] || tok[s + m:n], lambda x: x <> '<*>')) > 0),
+g AS (SELECT n, tok, 'line' AS kind, 0 AS s, tok AS rest FROM u UNION ALL SELECT n, tok, 'leaf', 0, lead FROM a UNION ALL SELECT n, tok, 'window', s, rest FROM w),
+o AS (SELECT g.n, kind, s, rest, doc_id, pos FROM g JOIN k USING (tok)),
+r AS (SELECT n, kind, s, rest, count(DISTINCT doc_id) AS docs, min(doc_id) AS keep FROM o GROUP BY ALL HAVING count(DISTINCT doc_id) >= CASE WHEN n >= 50 THEN 2 ELSE 3 END),
+x AS (SELECT DISTINCT o.doc_id, o.pos FROM o JOIN r ON o.n = r.n AND o.kind = r.kind AND o.s = r.s AND o.rest = r.rest WHERE docs >= 3 OR o.doc_id <> keep),
 y AS (SELECT l.doc_id, count(*) AS n_lines, count(x.pos) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (x.pos IS NULL), '') AS kept FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.pos = l.pos GROUP BY 1)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, length(kept)::BIGINT AS kept_chars, sha256(kept) AS kept_sha256 FROM documents d LEFT JOIN y USING (doc_id)
 """
