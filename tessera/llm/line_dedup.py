@@ -33,6 +33,8 @@ pass through.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +44,9 @@ DEPTH = 3
 SIMILARITY = 0.8
 MIN_DOCS = 3
 LONG_DOCS = 2
-#: Leaf keys that are broadcast to pick the lines to look into, and recurring lines to drop
-#: (24 bytes each before Spark hashes them); more are joined by a shuffle.
-MAX_LEAVES = 1_000_000
+#: Leaf keys that are broadcast to pick the lines to look into, majority tokens, and recurring lines
+#: to drop (some 65 bytes a row as Spark hashes them, 13 MB); more are joined by a shuffle.
+MAX_LEAVES = 200_000
 
 _FIELD = "<*>"
 _LINE = ["leaf", "a", "b"]
@@ -60,13 +62,15 @@ def parsed_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     ``line`` has one blank between tokens and ``<*>`` for each token with a digit.
     """
-    plain = F.regexp_replace("text", r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
-    masked = F.regexp_replace(plain, r"(?<![^\x20\n])[^\x20\n0-9]*+[0-9][^\x20\n]*+", _FIELD)
-    lines = docs.select("doc_id", *_doc_key(), F.posexplode(F.split(masked, "\n", -1)).alias("pos", "line"))
-    lines = lines.select("doc_id", "d1", "d2", "pos", F.trim("line").alias("line"))
-    blank, none = F.lit(" "), F.lit("")
-    n = F.length("line") - F.length(F.replace("line", blank, none)) + 1
-    lines = lines.where(F.replace(F.replace("line", F.lit(_FIELD), none), blank, none) != "").withColumn("n", n)
+    blank, none, text = F.lit(" "), F.lit(""), F.col("text")
+    odd = reduce(lambda x, y: x | y, (text.contains(c) for c in ("  ", "\t", "\r", "\x0b", "\x0c")))
+    plain = F.when(odd, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")).otherwise(text)
+    # regular expressions only where they change something: inside the generator, each line is masked once
+    mask = lambda x: F.trim(F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"(?<![^\x20])[^\x200-9]*+[0-9][^\x20]*+", _FIELD)).otherwise(x))
+    lines = docs.select("doc_id", *_doc_key(), F.posexplode(F.transform(F.split(plain, "\n", -1), mask)).alias("pos", "line"))
+    line = F.col("line")
+    fixed = F.when(line.contains(_FIELD), F.replace(F.replace(line, F.lit(_FIELD), none), blank, none) != "").otherwise(line != "")
+    lines = lines.where(fixed).withColumn("n", F.length("line") - F.length(F.replace("line", blank, none)) + 1)
     leaf = F.xxhash64("n", F.substring_index("line", " ", depth))
     return lines.select("*", leaf.alias("leaf"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"))
 
