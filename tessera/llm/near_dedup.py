@@ -7,48 +7,57 @@ filled after at most ``2 * COORDS`` rounds.  (This is the published "fast
 similarity sketching"; the share of equal coordinates estimates Jaccard
 similarity with Chernoff-type bounds.)
 
-Candidates.  Documents with equal sets are one class, and only its least
-doc_id goes on.  Bands of ``BAND_ROWS`` coordinates are hashed.  At similarity
-0.85 a pair shares no band with probability (1 - 0.85**5)**25 < 5e-7.
+Candidates.  Documents of the same sequence of words (known by 128 bits of BLAKE2
+over the words themselves, not over hashes of them) are one class, which
+takes part in links once.  Bands of ``BAND_ROWS`` coordinates are hashed.  At
+similarity 0.85 a pair shares no band with probability (1 - 0.85**5)**25 < 5e-7,
+at 0.8 with 4.9e-5.
 
 Links.  Nothing emits all pairs of a bucket:
 
-1. each bucket's least document is compared with every other one on full
-   shingle sets, and the links found are merged into components;
+1. each bucket's least class is compared with every other one on full shingle
+   sets (64 bits a shingle), and the links found are merged into components;
 2. pairs of one bucket that are still in different components are compared
-   inside tasks, in blocks of bounded size: on sketches first (six standard
-   deviations of slack), then on shortened shingle sets; each block passes on
-   the links that join its components, and these are confirmed on full sets.
+   inside tasks, in blocks of bounded rows and bytes: on sketches first (six
+   standard deviations of slack), then on full shingle sets; only links that
+   full sets confirm are passed on or merged.
 
 Pairs that are in one component already need no test, which is what makes
 groups of thousands of copies cheap without any cap.
 
+Rows, not ids, are judged: a repeated ``doc_id`` whose texts differ takes part with
+each of them.
+
 Defined results for odd input: a null, empty or blank text has no shingles and
 is linked with nothing; a text of fewer words than a shingle is one shingle;
-a null ``doc_id`` is linked with nothing and kept; rows that repeat a ``doc_id``
-have a result row each, by their own text (if their texts differ, only the one
-of least fingerprint is compared with other documents, and the others join
-documents of an equal set); an empty table gives no rows; extra columns are
-ignored.
+rows with a null ``doc_id`` take part, and a component's id is its least ``doc_id``
+that is not null; rows that repeat a ``doc_id`` have a result row each; an empty
+table gives no rows; extra columns are ignored, or pass through ``one_of_each``
+whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.spill import checkpointed, saved
+from tessera.llm.spill import bounded_broadcast, checkpointed, saved
 from tessera.llm.textvec import Words, mix, signed, slices
 from tessera.llm.worker import forget
 
 COORDS = 128
 BAND_ROWS = 5
 BANDS = COORDS // BAND_ROWS
-#: Rows of one side of a block that is compared on sketches.
+#: Rows and bytes of shingle sets of one side of a block (about; one set alone may be larger).
 BLOCK = 1024
+BLOCK_BYTES = 32 << 20
+#: Rows that go, whose numbers are broadcast to cut them out (8 MB); more are joined by a shuffle.
+MAX_DROPPED = 1_000_000
 
 _EMPTY = np.uint64(2**64 - 1)
 _SHIFT = np.uint64(64 - COORDS.bit_length() + 1)
@@ -85,22 +94,16 @@ def band_keys(cells: np.ndarray) -> np.ndarray:
 
 
 def _sets(data, offsets, shingle, lower):
-    """Sorted distinct shingle hashes of each text."""
-    found, off = Words(data, offsets, lower).shingles(shingle, short=True)
-    return [np.unique(found[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-
-
-def _fingerprints(flat: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit fingerprints of each set; equal sets have equal ones."""
-    out = []
-    for k in (1, 2):
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat + np.uint64(k)), dtype=np.uint64)])
-            out.append(signed(mix(sums[off[1:]] - sums[off[:-1]])))
-    return out
+    """Sorted distinct shingle hashes of each text, and 128 bits of its sequence of words in two columns."""
+    words = Words(data, offsets, lower)
+    found, off = words.shingles(shingle, short=True)
+    sets = [np.unique(found[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    line, at = words.joined()
+    digests = b"".join(hashlib.blake2b(line[a:b], digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+    return sets, np.frombuffer(digests, "<i8").reshape(-1, 2)
 
 
-SKETCH_SCHEMA = "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, bands array<bigint>, sketch binary"
+SKETCH_SCHEMA = "row bigint, doc_id bigint, th bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch binary"
 
 
 def _sketcher(shingle: int, lower: bool):
@@ -108,19 +111,16 @@ def _sketcher(shingle: int, lower: bool):
         forget()
         for batch in batches:
             for rows, data, offsets in slices(batch):
-                sets = _sets(data, offsets, shingle, lower)
+                sets, digest = _sets(data, offsets, shingle, lower)
                 size = np.array([len(s) for s in sets], np.int64)
-                off = np.concatenate([[0], np.cumsum(size)])
-                flat = np.concatenate(sets)
-                cells = similarity_sketch(flat, off)
+                cells = similarity_sketch(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
                 keys = band_keys(cells)
                 bits = (mix(cells) & np.uint64(0xFFFF)).astype("<u2")
-                fps = _fingerprints(flat, off)
                 full = size > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * BANDS)]), pa.int32()), pa.array(signed(keys[full].ravel())))
                 yield pa.record_batch(
-                    [rows.column(0).cast(pa.int64()), pa.array(size), pa.array(fps[0]), pa.array(fps[1]), lists, pa.array([b.tobytes() for b in bits], pa.binary())],
-                    names=["doc_id", "n_shingles", "fp1", "fp2", "bands", "sketch"],
+                    [*rows.columns[:3], pa.array(size), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), lists, pa.array([b.tobytes() for b in bits], pa.binary())],
+                    names=["row", "doc_id", "th", "n_shingles", "d1", "d2", "bands", "sketch"],
                 )
 
     return sketch
@@ -129,10 +129,9 @@ def _sketcher(shingle: int, lower: bool):
 def _full_sets(shingle: int, lower: bool):
     def build(batches):
         for batch in batches:
-            for rows, data, offsets in slices(batch):
-                sets = _sets(data, offsets, shingle, lower)
-                fps = _fingerprints(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
-                yield pa.record_batch([rows.column(0).cast(pa.int64()), *map(pa.array, fps), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "fp1", "fp2", "members"])
+            for _, data, offsets in slices(batch):
+                sets, digest = _sets(data, offsets, shingle, lower)
+                yield pa.record_batch([pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["d1", "d2", "members"])
 
     return build
 
@@ -155,15 +154,8 @@ def _confirm(num: int, den: int):
 
 def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The ``pairs`` (a, b) whose full shingle sets reach the similarity num / den."""
-    left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b")
-    return left.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a").select("a", "b", "ma", "mb").mapInArrow(_confirm(num, den), "a bigint, b bigint")
-
-
-def _shorten(batches):
-    """Shingle sets with 32 bits an element, to be compared inside blocks."""
-    for batch in batches:
-        short = [np.unique((np.frombuffer(m.as_buffer(), np.uint64) >> np.uint64(32)).astype("<u4")).tobytes() for m in batch.column(1)]
-        yield pa.record_batch([batch.column(0), pa.array(short, pa.binary())], names=["doc", "members"])
+    left = pairs.join(sets.select(F.col("doc").alias("b"), F.col("members").alias("mb")), "b")
+    return left.join(sets.select(F.col("doc").alias("a"), F.col("members").alias("ma")), "a").select("a", "b", "ma", "mb").mapInArrow(_confirm(num, den), "a bigint, b bigint")
 
 
 def _joining_links(num: int, den: int):
@@ -175,7 +167,7 @@ def _joining_links(num: int, den: int):
         cells = np.frombuffer(b"".join(block.column("sketch").to_pylist()), "<u2").reshape(len(doc), COORDS)
         kind, i, j, band = (block.column(c)[0].as_py() for c in ("kind", "i", "j", "band"))
         earlier = np.array(block.column("bands").combine_chunks().values.to_numpy(zero_copy_only=False)).reshape(len(doc), BANDS)[:, :band]
-        members = [np.frombuffer(m, "<u4") for m in block.column("members").to_pylist()]
+        members = [np.frombuffer(m, np.uint64) for m in block.column("members").to_pylist()]
         inner = kind == 1 and i == j
         ones = np.flatnonzero(side == 1)
         zeros = np.flatnonzero(side == 0)
@@ -202,10 +194,9 @@ def _joining_links(num: int, den: int):
                 both = np.add.reduceat(found.astype(np.int64), np.cumsum(length) - length)
                 for k, n in zip(part.tolist(), both.tolist(), strict=True):
                     total = int(size[k]) + int(size[r])
-                    if den * (n + 1) >= num * (total - n - 1) and root[k] != root[r]:
+                    if den * n >= num * (total - n) and root[k] != root[r]:
                         yield min(doc[k], doc[r]), max(doc[k], doc[r])
-                        if den * n >= num * (total - n):
-                            root[root == root[k]] = root[r]
+                        root[root == root[k]] = root[r]
 
     def out(block):
         found = list(links_of(block))
@@ -231,19 +222,19 @@ def _joining_links(num: int, den: int):
     return find
 
 
-def _crossing_links(buckets: DataFrame, sketches: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b), still to be confirmed, of one bucket's different components.
+def _crossing_links(buckets: DataFrame, heads: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Confirmed links (a, b) that join one bucket's different components.
 
-    In each bucket the documents outside its largest component are compared
-    with that component and with each other, in blocks of at most about
-    ``BLOCK`` rows a side.
+    In each bucket the classes outside its largest component are compared with
+    that component and with each other, in blocks of at most about ``BLOCK`` rows
+    and ``BLOCK_BYTES`` bytes a side.
     """
-    rows = buckets.where("n > 2").select("key", "band", "doc").join(labels.withColumnRenamed("id", "doc"), "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("label"))
-    parts = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-    shape = parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.count("*").alias("k")).where("k > 1")
-    shape = shape.select("key", F.col("top.label").alias("bulk"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("gb"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("gm"))
-    short = sets.select("doc_id", "members").mapInArrow(_shorten, "doc bigint, members binary")
-    mixed = rows.join(shape, "key").join(sketches.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch", "bands"), "doc").join(short, "doc")
+    rows = buckets.where("n > 2").select("key", "band", "doc", "n_shingles").join(labels.withColumnRenamed("id", "doc"), "doc", "left").select("key", "band", "doc", "n_shingles", F.coalesce("component", "doc").alias("label"))
+    parts = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s"))
+    shape = parts.groupBy("key").agg(F.max(F.struct("c", "label", "s")).alias("top"), F.sum("c").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k")).where("k > 1")
+    sides = lambda n, s: F.ceil(F.greatest(n / BLOCK, 8 * s / BLOCK_BYTES)).cast("int")
+    shape = saved(shape.select("key", F.col("top.label").alias("bulk"), sides(F.col("top.c"), F.col("top.s")).alias("gb"), sides(F.col("n") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("gm")), "bucket-shapes")
+    mixed = rows.drop("n_shingles").join(shape, "key").join(heads.select("doc", "n_shingles", "sketch", "bands"), "doc").join(sets, "doc")
     core = F.col("label") == F.col("bulk")
     own = F.pmod(F.xxhash64("doc"), F.when(core, F.col("gb")).otherwise(F.col("gm"))).cast("int")
 
@@ -261,37 +252,60 @@ def _crossing_links(buckets: DataFrame, sketches: DataFrame, sets: DataFrame, la
     return dealt.mapInArrow(_joining_links(num, den), "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, lower: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+def _numbered(docs: DataFrame, row) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(row.alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
-    Documents are linked if den * intersection >= num * union of their shingle
-    sets; a component's least doc_id is kept.
-    """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+def _components(docs: DataFrame, shingle: int, num: int, den: int, lower: bool) -> tuple[DataFrame, DataFrame]:
+    """The sketches of the rows of ``docs``, and (d1, d2, doc, component) of each class; ``doc`` numbers classes."""
     base = saved(docs.mapInArrow(_sketcher(shingle, lower), SKETCH_SCHEMA), "sketches")
-    linkable = base.where("n_shingles > 0 and doc_id is not null")
-    classes = linkable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    # an id with several texts takes part in links by the one of least fingerprint
-    chosen = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("fp1", "fp2")).alias("fp")).select("doc_id", "fp.fp1", "fp.fp2")
-    heads = saved(linkable.join(chosen, ["doc_id", "fp1", "fp2"], "left_semi").dropDuplicates(["doc_id"]), "class-heads")
-
-    banded = heads.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "key"))
-    pivots = banded.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    classes = base.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th")).alias("pick"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    heads = saved(classes.select(F.monotonically_increasing_id().alias("doc"), "*"), "class-heads")
+
+    banded = heads.select("doc", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    pivots = saved(banded.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "pivots")
     buckets = saved(banded.join(pivots, "key"), "buckets")
 
     stars = checkpointed(buckets.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct())
-    ids = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    found = docs.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(shingle, lower), "doc_id bigint, fp1 bigint, fp2 bigint, members binary")
-    sets = saved(found.groupBy("doc_id").agg(F.min_by("members", F.struct("fp1", "fp2")).alias("members")), "shingle-sets")
+    ids = stars.select(F.col("a").alias("doc")).union(stars.select("b")).distinct()
+    wanted = saved(heads.select("doc", "d1", "d2", F.col("pick.doc_id").alias("_id"), F.col("pick.th").alias("_th")).join(ids, "doc", "left_semi"), "compared")
+    found = docs.join(wanted.select("_id", "_th"), docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["th"] == F.col("_th")), "left_semi").select("th", "text").mapInArrow(_full_sets(shingle, lower), "d1 bigint, d2 bigint, members binary")
+    sets = saved(found.join(wanted.select("doc", "d1", "d2"), ["d1", "d2"]).groupBy("doc").agg(F.first("members").alias("members")), "shingle-sets")
     links = checkpointed(confirmed(stars, sets, num, den))
     labels = connected_components(links)
-    crossing = checkpointed(_crossing_links(buckets, heads, sets, labels, num, den).join(stars, ["a", "b"], "left_anti"))
-    more = checkpointed(confirmed(crossing, sets, num, den))
+    more = checkpointed(_crossing_links(buckets, heads, sets, labels, num, den))
     # the first round's stars stand for its links
     labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    return base, heads.select("doc", "d1", "d2").join(labels.withColumnRenamed("id", "doc"), "doc", "left").select("d1", "d2", "doc", F.coalesce("component", "doc").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, lower: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
-    found = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    light = base.select("doc_id", "n_shingles", "fp1", "fp2")
-    out = light.where("n_shingles > 0 and doc_id is not null").join(found, ["fp1", "fp2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    alone = light.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    Documents are linked if den * intersection >= num * union of their shingle
+    sets; a component's least doc_id is kept.
+    """
+    base, classes = _components(_numbered(docs, F.monotonically_increasing_id()), shingle, num, den, lower)
+    light = base.select("doc_id", "n_shingles", "d1", "d2")
+    least = light.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    named = saved(least.join(classes, ["d1", "d2"]), "named-classes")
+    ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    found = named.join(ids, "component").select("d1", "d2", "component_id")
+    out = light.where("n_shingles > 0").join(found, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
+    alone = light.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, lower: bool = True) -> DataFrame:
+    """One row of each component (of least doc_id, null last), and all rows without shingles; columns as they were.
+
+    Rows are numbered in a saved copy and judged by number, so of equal rows one
+    stays, and texts are not shuffled unless more than ``MAX_DROPPED`` rows go.
+    """
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(docs[c] for c in docs.columns)).alias("r")), "numbered-documents")
+    base, classes = _components(_numbered(rows.select("row", "r.doc_id", "r.text"), F.col("row")), shingle, num, den, lower)
+    placed = saved(base.where("n_shingles > 0").select("row", "doc_id", "d1", "d2").join(classes.select("d1", "d2", "component"), ["d1", "d2"]).select("row", "component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("rank")), "placed-rows")
+    best = saved(placed.groupBy("component").agg(F.min("rank").alias("best")), "kept-rows")
+    dropped = saved(placed.select("row").join(best.select(F.col("best.row").alias("row")), "row", "left_anti"), "dropped-rows")
+    return rows.join(bounded_broadcast(dropped, MAX_DROPPED), "row", "left_anti").select("r.*")

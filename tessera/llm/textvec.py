@@ -119,13 +119,23 @@ class Words:
         #: Word number at which each text begins, and the total.
         self.offsets = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.offsets)
-        self._blocks = blocks(_LOWER[data] if lower else data)
+        self._data = _LOWER[data] if lower else data
+        self._blocks = blocks(self._data)
         self.hash = self.span_hash(self.start, self.end)
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of the byte spans; equal spans have equal hashes."""
         return span_hash(self._blocks, start, end)
 
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """The words of all texts with one byte 32 after each, and the byte offsets of the texts."""
+        size = self.end - self.start + 1
+        last = np.cumsum(size)
+        at = np.repeat(self.start - (last - size), size) + np.arange(int(last[-1]) if len(last) else 0)
+        line = self._data[np.minimum(at, max(len(self._data) - 1, 0))]
+        line[last - 1] = 32
+        return line.tobytes(), np.concatenate([[0], last])[self.offsets]
+
     def texts(self) -> np.ndarray:
         """The text number of each word."""
         return np.repeat(np.arange(self.n_texts), self.count)

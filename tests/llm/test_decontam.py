@@ -55,3 +55,11 @@ def test_odd_rows(spark, odd_documents, no_documents):
     left = decontam.decontaminated(odd_documents, items)
     assert left.columns == odd_documents.columns
     assert left.count() == len(ODD_ROWS) - sum(r[0] in {p[0] for p in want} for r in ODD_ROWS)
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    items = spark.createDataFrame([(1, "beta gamma delta epsilon zeta eta")], "item_id long, text string")
+    rows = [(1, "clean enough"), (1, "so beta gamma delta epsilon zeta eta it is"), (None, "beta gamma delta epsilon zeta eta"), (None, None)]
+    left = decontam.decontaminated(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, [(1, "clean enough"), (None, None)]))
+    assert "Exchange" not in left._jdf.queryExecution().toString()

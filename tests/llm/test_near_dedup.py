@@ -7,7 +7,7 @@ from llm_fixtures import ODD_ROWS, prose, shingles
 
 from tessera.llm import queries
 from tessera.llm.components import connected_components
-from tessera.llm.near_dedup import COORDS, near_duplicates, similarity_sketch
+from tessera.llm.near_dedup import COORDS, near_duplicates, one_of_each, similarity_sketch
 
 
 def brute_force(rows, k, num, den):
@@ -61,7 +61,34 @@ def test_odd_rows(odd_documents, no_documents):
     out = found(near_duplicates(odd_documents).where("doc_id is not null"))
     assert out == brute_force([r[:2] for r in ODD_ROWS if r[0] is not None], 5, 80, 100)
     assert [r.kept for r in near_duplicates(odd_documents.where("doc_id is null")).collect()] == [True]
-    assert near_duplicates(no_documents).count() == 0
+    assert [r.component_id for r in near_duplicates(odd_documents).where("doc_id is null").collect()] == [8]
+    assert near_duplicates(no_documents).count() == 0 and one_of_each(no_documents).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    """Each text of an id takes part in links; of each component one row stays."""
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, a), (1, b), (1, b), (5, b + " more"), (4, a.upper()), (None, a), (None, prose(3, 60)), (None, prose(3, 60)), (7, ""), (7, ""), (8, None)]
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, row int, d1 string").repartition(3)
+    assert sorted(((str(r.doc_id), r.component_id, r.kept) for r in near_duplicates(df).collect()), key=str) == sorted([("1", 1, True)] * 3 + [("5", 1, False), ("4", 1, False), ("None", 1, False)] + [("None", None, True)] * 2 + [("7", 7, True)] * 2 + [("8", 8, True)], key=str)
+    out = one_of_each(df)
+    assert out.columns == df.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, [(1, a), (1, b), (None, prose(3, 60)), (7, ""), (7, ""), (8, None)]))
+
+
+def test_long_texts_at_the_threshold_meet_in_a_block(spark):
+    """Pairs at exactly the threshold, and just below it, with sets of 100,000 shingles beside a bucket's first document."""
+    rng = random.Random(4)
+    n = 100_000
+    w = [f"w{rng.randrange(10**9)}" for _ in range(n + 2)]
+
+    def changed(k):  # k of the n shingles are others
+        return " ".join(w[: n + 2 - k] + [f"x{k}y{j}" for j in range(k)])
+
+    k = n * 15 // 185  # 100 * (n - k) >= 85 * (n + k)
+    rows = [(10, " ".join(w)), (11, changed(k)), (12, changed(k + 1)), (3, " ".join([f"z{j}" for j in range(n // 3)] + w[n // 3 :]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert found(near_duplicates(df, 3, 85, 100)) == brute_force(rows, 3, 85, 100)
 
 
 def test_components(spark):
