@@ -17,7 +17,7 @@ nor shuffled, however large a source is.
 
 Defined results for odd input: a null or empty text has 0 tokens; sources
 without tokens have weight 0 and go out once, as they are; a null source is a
-source; rows that repeat a ``doc_id`` stand or fall together; an empty table
+source, apart from ""; rows that repeat a ``doc_id`` stand or fall together; an empty table
 gives no rows; extra columns pass through ``mixed`` unchanged.
 """
 
@@ -39,11 +39,16 @@ MAX_SOURCES = 100_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+def source_key(source):
+    """A source as a key that is never null; null and "" are different sources."""
+    return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), source.cast("string")))
+
+
 def source_tokens(docs: DataFrame) -> DataFrame:
     """(id, source_key, n_tokens, u): one narrow row per document; u orders permutations."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_key"),
+        source_key(F.col("source")).alias("source_key"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long").alias("n_tokens"),
     )
 
@@ -111,7 +116,7 @@ def mixing_plan(tokens: DataFrame, max_repeats: float | None = MAX_REPEATS, entr
     blocks = dealt.groupBy("source_key", "block").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = blocks.select("source_key", "block", "rest", before.alias("before")).where("before < rest").groupBy("source_key").agg(F.max("block").alias("block"), F.max_by("before", "block").alias("before"))
-    last = bounded_broadcast(last, MAX_SOURCES)
+    last = bounded_broadcast(saved(last, "last-blocks"), MAX_SOURCES)
     inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("source_key", "block").orderBy("u", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ends = dealt.join(last, ["source_key", "block"]).select("source_key", "u", "id", "rest", (F.col("before") + inside).alias("upto")).where("upto < rest")
     ends = ends.groupBy("source_key").agg(F.max(F.struct("u", "id")).alias("end"))
@@ -132,7 +137,7 @@ def mixture(docs: DataFrame, **target) -> DataFrame:
     plan = saved(mixing_plan(tokens, **target), "mixing-plan")
     weights = bounded_broadcast(plan.select("source_key", "quota"), MAX_SOURCES)
     rows = with_copies(tokens, plan, target.get("seed", SEED)).join(weights, "source_key")
-    return rows.select(F.nullif("id", F.lit("")).cast("bigint").alias("doc_id"), F.col("source_key").alias("source"), "n_tokens", "quota", "copies")
+    return rows.select(F.nullif("id", F.lit("")).cast("bigint").alias("doc_id"), F.when(F.col("source_key") != "-", F.expr("substring(source_key, 2)")).alias("source"), "n_tokens", "quota", "copies")
 
 
 def mixed(docs: DataFrame, **target) -> DataFrame:
@@ -141,6 +146,6 @@ def mixed(docs: DataFrame, **target) -> DataFrame:
     plan = saved(mixing_plan(tokens, **target), "mixing-plan")
     names = docs.columns
     whole_row = F.struct(*(docs[c] for c in names)).alias("_row")
-    keyed = docs.select(whole_row).select("_row", F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("")).alias("id"), F.coalesce(F.col("_row.source").cast("string"), F.lit("")).alias("source_key"))
+    keyed = docs.select(whole_row).select("_row", F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("")).alias("id"), source_key(F.col("_row.source")).alias("source_key"))
     out = with_copies(keyed, plan, target.get("seed", SEED)).where("copies > 0")
     return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")

@@ -56,6 +56,8 @@ BANDS = COORDS // BAND_ROWS
 #: Rows and bytes of shingle sets of one side of a block (about; one set alone may be larger).
 BLOCK = 1024
 BLOCK_BYTES = 32 << 20
+#: Texts that are fetched for comparison, whose keys (some 65 bytes each as Spark hashes them) are broadcast; more are joined by a shuffle.
+MAX_WANTED = 300_000
 #: Rows that go, whose numbers are broadcast to cut them out (8 MB); more are joined by a shuffle.
 MAX_DROPPED = 1_000_000
 
@@ -270,7 +272,7 @@ def _components(docs: DataFrame, shingle: int, num: int, den: int, lower: bool)
     stars = checkpointed(buckets.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct())
     ids = stars.select(F.col("a").alias("doc")).union(stars.select("b")).distinct()
     wanted = saved(heads.select("doc", "d1", "d2", F.col("pick.doc_id").alias("_id"), F.col("pick.th").alias("_th")).join(ids, "doc", "left_semi"), "compared")
-    found = docs.join(wanted.select("_id", "_th"), docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["th"] == F.col("_th")), "left_semi").select("th", "text").mapInArrow(_full_sets(shingle, lower), "d1 bigint, d2 bigint, members binary")
+    found = docs.join(bounded_broadcast(wanted.select("_id", "_th"), MAX_WANTED), docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["th"] == F.col("_th")), "left_semi").select("th", "text").mapInArrow(_full_sets(shingle, lower), "d1 bigint, d2 bigint, members binary")
     sets = saved(found.join(wanted.select("doc", "d1", "d2"), ["d1", "d2"]).groupBy("doc").agg(F.first("members").alias("members")), "shingle-sets")
     links = checkpointed(confirmed(stars, sets, num, den))
     labels = connected_components(links)

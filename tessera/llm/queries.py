@@ -113,7 +113,7 @@ SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)
 """
 
 OP7_SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS id, coalesce('=' || source, '-') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
 s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens, count(*) AS docs FROM d GROUP BY 1),
 p AS (SELECT source, tokens, docs, tokens / (SELECT sum(tokens) FROM s)::DOUBLE AS p FROM s WHERE tokens > 0),
 x AS (SELECT max(p) / min(p) AS ratio FROM p),
@@ -129,7 +129,7 @@ q AS (SELECT s.source, s.tokens, s.docs, CASE WHEN s.tokens > 0 THEN round(raise
 f AS (SELECT source, quota, CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS whole, CASE WHEN tokens > 0 THEN quota % tokens ELSE 0 END AS rest, docs FROM q),
 o AS (SELECT d.*, quota, whole, rest, ('0x' || substr(md5('17:' || whole || ':' || id), 1, 12))::BIGINT AS u FROM d JOIN f USING (source)),
 r AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY u, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM o)
-SELECT doc_id, source, n_tokens, quota::BIGINT AS quota, (whole + CASE WHEN upto < rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM r
+SELECT doc_id, CASE WHEN source <> '-' THEN substr(source, 2) END AS source, n_tokens, quota::BIGINT AS quota, (whole + CASE WHEN upto < rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM r
 """
 
 OP8_SQL = r"""

@@ -1,12 +1,14 @@
 """Cutting lineage and sharing intermediate tables in the cluster's own folder.
 
 Everything goes below the folder that ``spark.checkpoint.dir`` names, which
-all executors and the driver share.  Only where the session has none (tests,
-a laptop) a fresh local folder is taken.
+all executors and the driver share.  Only where a session on one machine has
+none (tests, a laptop) a fresh local folder is taken; on a cluster that is an
+error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not sc.getCheckpointDir() and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)

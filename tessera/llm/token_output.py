@@ -68,8 +68,10 @@ def encode_ids(docs: DataFrame, tokenizer_file: str, end_id: int = 0) -> DataFra
     """Rows of the file format, one Spark partition per range of ``doc_id``.
 
     Texts are dealt by range before they are encoded, so encoding runs once.
+    The beginning of the text is part of the range, so that rows of one id can
+    be spread.
     """
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(_encoder(tokenizer_file, end_id), FILE_SCHEMA)
 
 

@@ -130,7 +130,7 @@ def test_targets_are_met(spark):
     size = {r.source_key: r.n for r in tokens.groupBy("source_key").agg(F.sum("n_tokens").alias("n")).collect()}
     plan = {r.source_key: r for r in mixing.mixing_plan(tokens, max_repeats=3.0).collect()}
     assert sum(r.weight for r in plan.values()) == pytest.approx(1)
-    assert plan["a"].quota == size["a"] and plan["c"].quota / size["c"] == pytest.approx(3, abs=1e-2)
+    assert plan["=a"].quota == size["=a"] and plan["=c"].quota / size["=c"] == pytest.approx(3, abs=1e-2)
     want = 0.8
     w = shares(mixing.mixing_plan(tokens, max_repeats=None, entropy=want))
     assert -sum(x * math.log(x) for x in w.values()) == pytest.approx(want, abs=1e-6)
@@ -147,5 +147,8 @@ def test_mixing_odd_rows(odd_documents, no_documents):
     assert out.columns == odd_documents.columns
     rows = out.collect()
     assert {str(r.doc_id) for r in rows} == {str(d) for d, *_ in ODD_ROWS}  # nothing is lost
+    got = {str(r.doc_id): r for r in mixing.mixture(odd_documents).collect()}
+    assert {d: r.source for d, r in got.items()} == {str(d): s for d, _, _, s in ODD_ROWS}  # null and "" stay apart
+    assert [sum(str(x.doc_id) == d for x in rows) for d in got] == [r.copies * sum(str(x[0]) == d for x in ODD_ROWS) for d, r in got.items()]
     assert mixing.mixture(odd_documents).count() == len(ODD_ROWS)
     assert mixing.mixed(no_documents).count() == 0 and mixing.mixture(no_documents).count() == 0
