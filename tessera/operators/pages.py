@@ -12,7 +12,16 @@ BLOCK = r"(?i)(<(?:h[1-6]|p|li|div|article|section|nav|ul|ol|dl|dt|dd|table|tr|t
 #: Character references that are read; the ampersand comes last.
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
-_CUT = "\x01"
+#: A cut, and U+0001 itself where a page holds it, so that a page's own characters never cut.
+_CUT, _OWN = "\x01\x03", "\x01\x02"
+
+
+def _text(piece):
+    """Visible text of a piece: tags out, references read, white space single."""
+    text = F.regexp_replace(piece, "<[^>]*>", " ")
+    for name, char in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
 
 
 def page_regions(pages: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -21,16 +30,14 @@ def page_regions(pages: DataFrame, threshold: float = 0.3) -> DataFrame:
     The score is the share of visible characters among all characters of the
     region.  One narrow pass; nothing is shuffled.
     """
-    html = F.col("html")
+    html = F.replace("html", F.lit("\x01"), F.lit(_OWN))
     for noise in NOISE:
         html = F.regexp_replace(html, noise, " ")
     cut = F.split(F.regexp_replace(html, BLOCK, _CUT + "$1"), _CUT, -1)
-    piece = pages.select("page_id", F.posexplode(cut).alias("pos", "piece"))
-    text = F.regexp_replace("piece", "<[^>]*>", " ")
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    text = F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
-    regions = piece.select("page_id", "pos", F.lower(F.regexp_extract("piece", r"^<([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("tag"), text.alias("text"), F.length("piece").alias("_all"))
+    own = F.transform(cut, lambda x: F.replace(x, F.lit(_OWN), F.lit("\x01")))
+    # inside the generator each text is made once, however often it is used later
+    parts = F.transform(own, lambda x: F.struct(F.lower(F.regexp_extract(x, r"^<([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("tag"), _text(x).alias("text"), F.length(x).alias("_all")))
+    regions = pages.select("page_id", F.posexplode(parts).alias("pos", "p")).select("page_id", "pos", "p.tag", "p.text", "p._all")
     scored = regions.where("text <> ''").withColumn("score", F.length("text") / F.col("_all"))
     return scored.where(F.col("score") >= threshold).select("page_id", "pos", "tag", "text", "score")
 

@@ -119,16 +119,23 @@ def _requests(pages: DataFrame) -> DataFrame:
     return both.select((F.col("page_id") * 2 + F.col("k")).alias("request_id"), wanted.cast("bigint").alias("page_id"))
 
 
-def parse_outcome(spark, sf_dir):
+def _outcomes(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages")
-    out = pg.parse_outcome(_requests(pages), pages)
-    return out.select("request_id", "ok", "n_regions", F.md5(F.col("markdown").cast("binary")).alias("markdown_md5"), F.md5(F.col("html").cast("binary")).alias("html_md5"), "message")
+    return pg.parse_outcome(_requests(pages), pages)
+
+
+def _digested(out: DataFrame, *more: str) -> DataFrame:
+    return out.select("request_id", "ok", "n_regions", F.md5(F.col("markdown").cast("binary")).alias("markdown_md5"), F.md5(F.col("html").cast("binary")).alias("html_md5"), "message", *more)
+
+
+def parse_outcome(spark, sf_dir):
+    return _digested(_outcomes(spark, sf_dir))
 
 
 def write_parsed(spark, sf_dir):
     folder = f"{sinks.shared_folder(spark)}/parsed-{uuid.uuid4().hex}"
-    sinks.write_parsed(parse_outcome(spark, sf_dir), folder, "run-1")
-    return sinks.read_parsed(spark, folder, "run-1")
+    sinks.write_parsed(_outcomes(spark, sf_dir), folder, "run-1")
+    return _digested(sinks.read_parsed(spark, folder, "run-1"), "run_id")
 
 
 def path_inventory(spark, sf_dir):
@@ -136,6 +143,12 @@ def path_inventory(spark, sf_dir):
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", F.size("parents").alias("n_parents"))
 
 
+def page_folders(spark, sf_dir):
+    bare = F.regexp_replace(F.regexp_replace("url", r"^https?://", ""), r"[?#].*$", "")
+    listing = _table(spark, sf_dir, "pages").select(bare.alias("path"), F.lit(0).alias("length")).distinct()
+    return inventory.present_paths(inventory.with_parents(listing))
+
+
 QUERIES: dict[str, Query] = {
     "evidence_rollup": evidence_rollup,
     "verdict": verdict,
@@ -155,6 +168,7 @@ QUERIES: dict[str, Query] = {
     "parse_outcome": parse_outcome,
     "write_parsed": write_parsed,
     "path_inventory": path_inventory,
+    "page_folders": page_folders,
 }
 
 _ROLLUP = """
@@ -173,10 +187,10 @@ SELECT page_id, pos, tag, text, length(text) / length(piece) AS score FROM (
   SELECT page_id, pos, piece, lower(regexp_extract(piece, '^<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag,
     trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(piece, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text
   FROM (
-    SELECT page_id, unnest(pieces) AS piece, (generate_subscripts(pieces, 1) - 1)::INTEGER AS pos FROM (
+    SELECT page_id, replace(unnest(pieces), chr(1) || chr(2), chr(1)) AS piece, (generate_subscripts(pieces, 1) - 1)::INTEGER AS pos FROM (
       SELECT page_id, string_split(regexp_replace(
-        regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script(\s[^>]*)?>.*?</script\s*>', ' ', 'g'), '(?is)<style(\s[^>]*)?>.*?</style\s*>', ' ', 'g'), '(?is)<head(\s[^>]*)?>.*?</head\s*>', ' ', 'g'),
-        '(?i)(<(?:h[1-6]|p|li|div|article|section|nav|ul|ol|dl|dt|dd|table|tr|td|th|header|footer|main|aside|form|pre|blockquote|figure)(?:\s[^>]*)?>)', chr(1) || '\1', 'g'), chr(1)) AS pieces
+        regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, chr(1), chr(1) || chr(2)), '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script(\s[^>]*)?>.*?</script\s*>', ' ', 'g'), '(?is)<style(\s[^>]*)?>.*?</style\s*>', ' ', 'g'), '(?is)<head(\s[^>]*)?>.*?</head\s*>', ' ', 'g'),
+        '(?i)(<(?:h[1-6]|p|li|div|article|section|nav|ul|ol|dl|dt|dd|table|tr|td|th|header|footer|main|aside|form|pre|blockquote|figure)(?:\s[^>]*)?>)', chr(1) || chr(3) || '\1', 'g'), chr(1) || chr(3)) AS pieces
       FROM pages)))
 WHERE text <> '' AND length(text) / length(piece) >= 0.3
 """
@@ -241,6 +255,11 @@ ORACLE_SQL: dict[str, str] = {
         f AS (SELECT path, arg_max(prefix, depth) AS marked FROM a JOIN m USING (prefix) GROUP BY path)
         SELECT DISTINCT s.path, marked, coalesce(marked, CASE WHEN len(parts) - 1 >= 2 THEN CASE WHEN array_to_string(parts[1:len(parts) - 2], '/') = '' THEN '/' ELSE array_to_string(parts[1:len(parts) - 2], '/') END END) AS root
         FROM s LEFT JOIN f ON f.path = s.path""",
+    "page_folders": r"""
+        WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages),
+        s AS (SELECT path, string_split(path, '/') AS parts FROM p),
+        a AS (SELECT DISTINCT CASE WHEN array_to_string(parts[1:k], '/') = '' THEN '/' ELSE array_to_string(parts[1:k], '/') END AS path FROM s, LATERAL (SELECT unnest(range(1, len(parts))) AS k))
+        SELECT path, false AS is_dir FROM p UNION ALL SELECT path, true FROM a""",
     "page_regions": f"SELECT page_id, pos, tag, length(text)::INTEGER AS text_chars, md5(text) AS text_md5 FROM ({_REGIONS})",
     "parse_outcome": _OUTCOME,
     "write_parsed": f"SELECT *, 'run-1' AS run_id FROM ({_OUTCOME})",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,11 @@ from pyspark.sql import functions as F
 
 
 def write_parsed(df: DataFrame, out: str, run_id: str) -> None:
-    """Append the outcome rows as the partition ``run_id`` of the Parquet table ``out``."""
-    df.withColumn("run_id", F.lit(run_id)).write.partitionBy("run_id").mode("append").parquet(out)
+    """Write the outcome rows, documents included, as the partition ``run_id`` of the Parquet table ``out``.
+
+    A run that is repeated replaces its own rows; other runs stay as they are.
+    """
+    df.withColumn("run_id", F.lit(run_id)).write.partitionBy("run_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(out)
 
 
 def read_parsed(spark: SparkSession, out: str, run_id: str | None = None) -> DataFrame:
@@ -20,6 +24,8 @@ def read_parsed(spark: SparkSession, out: str, run_id: str | None = None) -> Dat
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a fresh local one only where none is set."""
+    """The folder that all executors share; a fresh local one only on one machine where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (folder or tempfile.mkdtemp(prefix="spark-shared-")).rstrip("/")

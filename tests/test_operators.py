@@ -185,3 +185,16 @@ def test_inventory(spark, tmp_path):
     paths = {(r.path.split("/m")[-1], r.is_dir) for r in inventory.present_paths(listed).collect() if r.path.count("/m/") or r.path.endswith("/m")}
     assert paths >= {("/impl/go/app", False), ("/impl/go", True), ("/impl", True), ("", True)}
     assert not any("empty" in p for p, _ in paths)
+
+
+def test_a_pages_own_characters_never_cut(spark):
+    rows = [(1, "<p>a\x01b</p><p>c\x01\x03d</p>"), (2, None), (3, "\x01\x02")]
+    out = pg.page_regions(spark.createDataFrame(rows, "page_id long, html string"), 0.0).collect()
+    assert sorted((r.page_id, r.text) for r in out) == [(1, "a\x01b"), (1, "c\x01\x03d"), (3, "\x01\x02")]
+
+
+def test_a_repeated_run_replaces_itself(spark, tmp_path):
+    df, out = spark.createDataFrame([(1, "text")], "request_id long, markdown string"), str(tmp_path / "runs")
+    for run in ("a", "b", "a"):
+        sinks.write_parsed(df, out, run)
+    assert sorted((r.run_id, r.request_id, r.markdown) for r in sinks.read_parsed(spark, out).collect()) == [("a", 1, "text"), ("b", 1, "text")]
