@@ -45,8 +45,8 @@ SIMILARITY = 0.8
 MIN_DOCS = 3
 LONG_DOCS = 2
 #: Leaf keys that are broadcast to pick the lines to look into, majority tokens, and recurring lines
-#: to drop (some 65 bytes a row as Spark hashes them, 13 MB); more are joined by a shuffle.
-MAX_LEAVES = 200_000
+#: to drop (some 65 bytes a row as Spark hashes them, 26 MB); more are joined by a shuffle.
+MAX_LEAVES = 400_000
 
 _FIELD = "<*>"
 _LINE = ["leaf", "a", "b"]

@@ -45,7 +45,7 @@ class Lookup:
         order = np.argsort(key)
         self.key, self.value = key[order], value[order]
         self.bits = max(4, int(2 * len(key) + 1).bit_length())
-        self.table = np.full(1 << self.bits, -1, np.int64)
+        self.table = np.full(1 << self.bits, -1, np.int32)
         self.table[(self.key >> np.uint64(64 - self.bits)).astype(np.int64)] = np.arange(len(key))
 
     def find(self, key: np.ndarray) -> np.ndarray:
