@@ -12,12 +12,19 @@ permutations of its documents: as many whole ones as fit, and of one more
 permutation the leading documents until the quota is filled.  A permutation is
 dealt into about sqrt(n) blocks by hash; block totals are summed in order, and
 only the block in which the quota ends is looked at document by document.
-What comes out is one threshold per source, so documents are neither sorted
-nor shuffled, however large a source is.
+What comes out is one threshold per source, so texts are neither sorted nor
+shuffled, however large a source is.
+
+``mixture`` gives each copy its block and its position in the source's sequence
+of permutations, from block counts and ranks inside blocks of about sqrt(n)
+narrow rows; equal rows are counted first.  ``at``, the position as a share of
+the source's copies, interleaves the sources: sorted by it, every stretch of the
+mixture holds them by their numbers of copies.
 
 Defined results for odd input: a null or empty text has 0 tokens; sources
 without tokens have weight 0 and go out once, as they are; a null source is a
-source, apart from ""; rows that repeat a ``doc_id`` stand or fall together; an empty table
+source, apart from ""; rows that repeat a ``doc_id`` stand or fall together, side by side; with a given budget
+a document may have no copy, and then no row of the mixture; an empty table
 gives no rows; extra columns pass through ``mixed`` unchanged.
 """
 
@@ -45,7 +52,7 @@ def source_key(source):
 
 
 def source_tokens(docs: DataFrame) -> DataFrame:
-    """(id, source_key, n_tokens, u): one narrow row per document; u orders permutations."""
+    """(id, source_key, n_tokens): one narrow row per document."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
         source_key(F.col("source")).alias("source_key"),
@@ -131,13 +138,31 @@ def with_copies(tokens: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFra
     return joined.withColumn("copies", F.col("whole") + taken.cast("long")).drop("whole", "end_u", "end_id")
 
 
+def arranged(copied: DataFrame, seed: int = SEED) -> DataFrame:
+    """One row per copy of ``copied`` (id, source_key, n_tokens, docs, copies): its permutation ``copy``, ``block``, ``position`` and ``at``."""
+    n_blocks = F.ceil(F.sqrt("docs")).cast("long")
+    rows = copied.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("u", _draw(F.col("copy"), seed))
+    rows = rows.withColumn("block", F.shiftright(F.shiftright("u", 16) * n_blocks, 32))
+    rows = saved(rows.groupBy(*rows.columns).agg(F.count("*").alias("equal")), "copies")
+    sizes = rows.groupBy("source_key", "copy", "block").agg(F.sum("equal").alias("n"))
+    before = sizes.select("source_key", "copy", "block", F.coalesce(F.sum("n").over(Window.partitionBy("source_key", "copy").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    total = bounded_broadcast(saved(rows.groupBy("source_key").agg(F.sum("equal").alias("in_source")), "source-copies"), MAX_SOURCES)
+    inside = F.coalesce(F.sum("equal").over(Window.partitionBy("source_key", "copy", "block").orderBy("u", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("inside", inside).join(before, ["source_key", "copy", "block"]).join(total, "source_key")
+    each = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("equal") - 1)))
+    each = each.withColumn("position", F.col("copy") * F.col("docs") + F.col("before") + F.col("inside") + F.col("k"))
+    return each.withColumn("at", (F.col("position") + 0.5) / F.col("in_source")).drop("u", "equal", "inside", "before", "in_source", "k", "docs")
+
+
 def mixture(docs: DataFrame, **target) -> DataFrame:
-    """doc_id, source, n_tokens, weight of its source, copies: one row per document."""
+    """doc_id, source, n_tokens, quota of its source, copies, and copy, block, position, at: one row per copy."""
     tokens = saved(source_tokens(docs), "source-tokens")
     plan = saved(mixing_plan(tokens, **target), "mixing-plan")
-    weights = bounded_broadcast(plan.select("source_key", "quota"), MAX_SOURCES)
-    rows = with_copies(tokens, plan, target.get("seed", SEED)).join(weights, "source_key")
-    return rows.select(F.nullif("id", F.lit("")).cast("bigint").alias("doc_id"), F.when(F.col("source_key") != "-", F.expr("substring(source_key, 2)")).alias("source"), "n_tokens", "quota", "copies")
+    seed = target.get("seed", SEED)
+    quotas = bounded_broadcast(plan.select("source_key", "quota", "docs"), MAX_SOURCES)
+    rows = arranged(with_copies(tokens, plan, seed).join(quotas, "source_key"), seed)
+    source = F.when(F.col("source_key") != "-", F.expr("substring(source_key, 2)"))
+    return rows.select(F.nullif("id", F.lit("")).cast("bigint").alias("doc_id"), source.alias("source"), "n_tokens", "quota", "copies", "copy", "block", "position", "at")
 
 
 def mixed(docs: DataFrame, **target) -> DataFrame:

@@ -9,9 +9,9 @@ similarity with Chernoff-type bounds.)
 
 Candidates.  Documents of the same sequence of words (known by 128 bits of BLAKE2
 over the words themselves, not over hashes of them) are one class, which
-takes part in links once.  Bands of ``BAND_ROWS`` coordinates are hashed.  At
-similarity 0.85 a pair shares no band with probability (1 - 0.85**5)**25 < 5e-7,
-at 0.8 with 4.9e-5.
+takes part in links once.  Bands of coordinates are hashed, with as many rows as
+keep the probability that a pair at the threshold shares no band below ``MISS``
+(``band_rows``: 25 bands of 5 at 0.85, 32 of 4 at 0.8, 64 of 2 at 0.5).
 
 Links.  Nothing emits all pairs of a bucket:
 
@@ -51,8 +51,8 @@ from tessera.llm.textvec import Words, mix, signed, slices
 from tessera.llm.worker import forget
 
 COORDS = 128
-BAND_ROWS = 5
-BANDS = COORDS // BAND_ROWS
+#: A pair at exactly the threshold shares no band with at most this probability.
+MISS = 1e-6
 #: Rows and bytes of shingle sets of one side of a block (about; one set alone may be larger).
 BLOCK = 1024
 BLOCK_BYTES = 32 << 20
@@ -87,12 +87,18 @@ def similarity_sketch(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return cells.reshape(n, COORDS)
 
 
-def band_keys(cells: np.ndarray) -> np.ndarray:
-    """64-bit keys (n, BANDS) of the bands of each sketch."""
+def band_rows(num: int, den: int) -> int:
+    """The most coordinates a band may have; fewer find more pairs and more that are none."""
+    return next((r for r in range(8, 1, -1) if (1 - (num / den) ** r) ** (COORDS // r) <= MISS), 1)
+
+
+def band_keys(cells: np.ndarray, rows: int) -> np.ndarray:
+    """64-bit keys (n, COORDS // rows) of the bands of each sketch."""
+    bands = COORDS // rows
     with np.errstate(over="ignore"):
-        used = mix(cells[:, : BANDS * BAND_ROWS]).reshape(-1, BANDS, BAND_ROWS)
-        weight = np.array([2 * (k * 0x9E3779B97F4A7C15 % 2**63) + 1 for k in range(1, BAND_ROWS + 1)], np.uint64)
-        return mix((used * weight).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+        used = mix(cells[:, : bands * rows]).reshape(-1, bands, rows)
+        weight = np.array([2 * (k * 0x9E3779B97F4A7C15 % 2**63) + 1 for k in range(1, rows + 1)], np.uint64)
+        return mix((used * weight).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
 def _sets(data, offsets, shingle, lower):
@@ -108,7 +114,7 @@ def _sets(data, offsets, shingle, lower):
 SKETCH_SCHEMA = "row bigint, doc_id bigint, th bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch binary"
 
 
-def _sketcher(shingle: int, lower: bool):
+def _sketcher(shingle: int, lower: bool, rows_of_band: int):
     def sketch(batches):
         forget()
         for batch in batches:
@@ -116,10 +122,10 @@ def _sketcher(shingle: int, lower: bool):
                 sets, digest = _sets(data, offsets, shingle, lower)
                 size = np.array([len(s) for s in sets], np.int64)
                 cells = similarity_sketch(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
-                keys = band_keys(cells)
+                keys = band_keys(cells, rows_of_band)
                 bits = (mix(cells) & np.uint64(0xFFFF)).astype("<u2")
                 full = size > 0
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * BANDS)]), pa.int32()), pa.array(signed(keys[full].ravel())))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * keys.shape[1])]), pa.int32()), pa.array(signed(keys[full].ravel())))
                 yield pa.record_batch(
                     [*rows.columns[:3], pa.array(size), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), lists, pa.array([b.tobytes() for b in bits], pa.binary())],
                     names=["row", "doc_id", "th", "n_shingles", "d1", "d2", "bands", "sketch"],
@@ -168,7 +174,7 @@ def _joining_links(num: int, den: int):
         doc, root, size, side = (block.column(c).to_numpy().copy() for c in ("doc", "label", "n_shingles", "side"))
         cells = np.frombuffer(b"".join(block.column("sketch").to_pylist()), "<u2").reshape(len(doc), COORDS)
         kind, i, j, band = (block.column(c)[0].as_py() for c in ("kind", "i", "j", "band"))
-        earlier = np.array(block.column("bands").combine_chunks().values.to_numpy(zero_copy_only=False)).reshape(len(doc), BANDS)[:, :band]
+        earlier = np.array(block.column("bands").combine_chunks().values.to_numpy(zero_copy_only=False)).reshape(len(doc), -1)[:, :band]
         members = [np.frombuffer(m, np.uint64) for m in block.column("members").to_pylist()]
         inner = kind == 1 and i == j
         ones = np.flatnonzero(side == 1)
@@ -261,7 +267,7 @@ def _numbered(docs: DataFrame, row) -> DataFrame:
 
 def _components(docs: DataFrame, shingle: int, num: int, den: int, lower: bool) -> tuple[DataFrame, DataFrame]:
     """The sketches of the rows of ``docs``, and (d1, d2, doc, component) of each class; ``doc`` numbers classes."""
-    base = saved(docs.mapInArrow(_sketcher(shingle, lower), SKETCH_SCHEMA), "sketches")
+    base = saved(docs.mapInArrow(_sketcher(shingle, lower, band_rows(num, den)), SKETCH_SCHEMA), "sketches")
     classes = base.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th")).alias("pick"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     heads = saved(classes.select(F.monotonically_increasing_id().alias("doc"), "*"), "class-heads")
 

@@ -50,7 +50,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(_table(spark, sf_dir, "documents"))
+    return mixing.mixture(_table(spark, sf_dir, "documents")).drop("at")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,10 +126,16 @@ a AS (SELECT hi AS a FROM b WHERE step = 40),
 w AS (SELECT source, tokens, docs, pow(p, (SELECT a FROM a)) AS raised FROM p),
 z AS (SELECT sum(raised) AS z, max(tokens / raised) AS least FROM w),
 q AS (SELECT s.source, s.tokens, s.docs, CASE WHEN s.tokens > 0 THEN round(raised / z * (least * z))::BIGINT ELSE 0 END AS quota FROM s LEFT JOIN w USING (source), z),
-f AS (SELECT source, quota, CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS whole, CASE WHEN tokens > 0 THEN quota % tokens ELSE 0 END AS rest, docs FROM q),
-o AS (SELECT d.*, quota, whole, rest, ('0x' || substr(md5('17:' || whole || ':' || id), 1, 12))::BIGINT AS u FROM d JOIN f USING (source)),
-r AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY u, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM o)
-SELECT doc_id, CASE WHEN source <> '-' THEN substr(source, 2) END AS source, n_tokens, quota::BIGINT AS quota, (whole + CASE WHEN upto < rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM r
+f AS (SELECT source, docs, quota, CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS whole, CASE WHEN tokens > 0 THEN quota % tokens ELSE 0 END AS rest FROM q),
+o AS (SELECT d.*, docs, quota, whole, rest, ('0x' || substr(md5('17:' || whole || ':' || id), 1, 12))::BIGINT AS u FROM d JOIN f USING (source)),
+r AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY u, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM o),
+n AS (SELECT *, (whole + CASE WHEN upto < rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM r),
+e AS (SELECT *, unnest(range(copies)) AS copy FROM n),
+v AS (SELECT *, ('0x' || substr(md5('17:' || copy || ':' || id), 1, 12))::BIGINT AS v FROM e)
+SELECT doc_id, CASE WHEN source <> '-' THEN substr(source, 2) END AS source, n_tokens, quota::BIGINT AS quota, copies, copy,
+  (((v >> 16) * ceil(sqrt(docs))::BIGINT) >> 32)::BIGINT AS block,
+  (copy * docs + row_number() OVER (PARTITION BY source, copy ORDER BY v, id, n_tokens) - 1)::BIGINT AS position
+FROM v
 """
 
 OP8_SQL = r"""

@@ -150,5 +150,29 @@ def test_mixing_odd_rows(odd_documents, no_documents):
     got = {str(r.doc_id): r for r in mixing.mixture(odd_documents).collect()}
     assert {d: r.source for d, r in got.items()} == {str(d): s for d, _, _, s in ODD_ROWS}  # null and "" stay apart
     assert [sum(str(x.doc_id) == d for x in rows) for d in got] == [r.copies * sum(str(x[0]) == d for x in ODD_ROWS) for d, r in got.items()]
-    assert mixing.mixture(odd_documents).count() == len(ODD_ROWS)
+    assert mixing.mixture(odd_documents).count() == len(rows)
     assert mixing.mixed(no_documents).count() == 0 and mixing.mixture(no_documents).count() == 0
+
+
+def test_copies_form_whole_permutations(spark):
+    """Positions of a source are 0, 1, ...; each copy is a permutation of its own, and every stretch holds the sources by their copies."""
+    rows = [(i, "w " * (3 + i % 7), s) for s, n in (("a", 300), ("b", 90), (None, 20)) for i in range(n)]
+    rows = [(k, t, s) for k, (_, t, s) in enumerate(rows)] + [(0, "w", "a")] * 40 + [(None, "w w", "a")] * 30 + [(None, "w", "a")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = mixing.mixture(docs, max_repeats=3.0).collect()
+    size = {s: sum(r[2] == s for r in rows) for s in ("a", "b", None)}
+    total = {s: sum(r.source == s for r in out) for s in size}
+    for s, n in size.items():
+        own = sorted((r for r in out if r.source == s), key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(total[s]))
+        copies = [[r for r in own if r.copy == c] for c in range(own[-1].copy + 1)]
+        for c in copies[:-1]:
+            assert sorted(str(r.doc_id) for r in c) == sorted(str(d) for d, _, x in rows if x == s) and len(c) == n
+        for c in copies:
+            assert [r.block for r in c] == sorted(r.block for r in c)
+        assert len(copies) < 2 or [r.doc_id for r in copies[0]] != [r.doc_id for r in copies[1]]
+    assert max(total.values()) < sum(total.values()) and max(r.copy for r in out) > 0
+    mixed = sorted(out, key=lambda r: (r.at, r.source or ""))
+    for k in range(50, len(mixed), 50):
+        for s in size:
+            assert abs(sum(r.source == s for r in mixed[:k]) - k * total[s] / len(mixed)) < 3

@@ -7,7 +7,7 @@ from llm_fixtures import ODD_ROWS, prose, shingles
 
 from tessera.llm import queries
 from tessera.llm.components import connected_components
-from tessera.llm.near_dedup import COORDS, near_duplicates, one_of_each, similarity_sketch
+from tessera.llm.near_dedup import COORDS, MISS, band_rows, near_duplicates, one_of_each, similarity_sketch
 
 
 def brute_force(rows, k, num, den):
@@ -91,6 +91,17 @@ def test_long_texts_at_the_threshold_meet_in_a_block(spark):
     assert found(near_duplicates(df, 3, 85, 100)) == brute_force(rows, 3, 85, 100)
 
 
+def test_bands_follow_the_threshold(spark):
+    for num in (1, 30, 50, 80, 85, 99):
+        r = band_rows(num, 100)
+        assert r == 1 or (1 - (num / 100) ** r) ** (COORDS // r) <= MISS
+        assert r == 8 or (1 - (num / 100) ** (r + 1)) ** (COORDS // (r + 1)) > MISS
+    base = prose(8, 150)
+    rows = [(i, edited(base, 0.05 * (i % 6), i)) for i in range(60)] + [(100 + i, prose(50 + i, 40)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(near_duplicates(df, 3, 50, 100)) == brute_force(rows, 3, 50, 100)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (95, 100), (7, 7)]
     out = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
