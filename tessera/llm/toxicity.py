@@ -12,14 +12,16 @@ passage): by the mean of its ``TOP`` most toxic ones, so that insults in a long
 text are not averaged away, and one odd word alone decides little; training
 follows the same rule.
 
-Training reads at most ``SAMPLE`` labelled rows of each class, of at most
-``SAMPLE_CHARS`` characters each (chosen by hash, never held-out rows): documented
-bounds, since the classifier's table is of fixed size.  Scoring covers all rows.  Because the softmax is linear, a
+Training reads whole texts of each class in an order drawn by hash (never held-out
+rows), until ``SAMPLE`` texts or ``SAMPLE_CHARS`` characters in sum are reached:
+documented bounds, since the classifier's table is of fixed size.  No text is left
+out for its own length; the last one may reach over.  Scoring covers all rows.  Because the softmax is linear, a
 worker needs one number per bucket (1 MB), not the vectors.
 
 Defined results for odd input: a null, empty or blank text has no subwords
 and gets the score of the bias alone; a null ``doc_id`` keeps its row, is not
-held out and lends no label; rows that repeat a ``doc_id`` have a result each;
+held out and lends no label; rows that repeat a ``doc_id`` have a result each, and
+the least of their texts is trained on; of two labels of one ``doc_id`` 1 holds;
 without labels of both classes every score is 0; an empty table gives no
 rows; extra columns are ignored.
 """
@@ -30,10 +32,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.spill import bounded_broadcast
+from tessera.llm.spill import bounded_broadcast, saved
 from tessera.llm.textvec import Words, mix, slices, text_bytes
 from tessera.llm.worker import held
 
@@ -44,7 +46,8 @@ PASSAGE = 5
 #: A document's score is the mean over so many of its most toxic passages.
 TOP = 3
 SAMPLE = 1500
-SAMPLE_CHARS = 20_000
+#: Characters of a class that are trained on (some 30 bytes of driver memory each).
+SAMPLE_CHARS = 8_000_000
 EPOCHS = 12
 NGRAMS = (3, 4, 5)
 #: A passage of fewer subwords counts as so many, so that a word or two decide nothing.
@@ -236,8 +239,8 @@ def _scorer(name: str, scalar, bias: float):
     return score
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, toxic, draw) of about ``sample`` labelled rows of each class, never held-out ones.
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(doc_id, text, toxic, draw) of at most ``sample`` labelled texts of each class, never held-out ones.
 
     Labels are thinned by hash before texts are read, so that what reaches
     the driver does not grow with the table.
@@ -247,17 +250,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     sizes = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     limit = lambda k: min(1.0, sample / max(1, sizes.get(k, 0))) * (1 << 30)
     chosen = usable.where(F.col("draw") < F.when(F.col("toxic") == 1, F.lit(limit(1))).otherwise(F.lit(limit(0)))).select("doc_id", "toxic", "draw")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(bounded_broadcast(chosen, 4 * sample), "doc_id")
-    return rows.where((F.trim("text") != "") & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text", "toxic", "draw")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.trim("text") != "").join(bounded_broadcast(chosen, 4 * sample), "doc_id")
+    rows = saved(rows.groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text")), "labelled-texts")
+    # at most some thousand narrow rows
+    order = Window.partitionBy("toxic").orderBy("draw", "doc_id")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = rows.select("doc_id", "toxic", "draw", F.length("text").alias("n")).select("doc_id", before.alias("before"), F.row_number().over(order).alias("k"))
+    taken = taken.where((F.col("before") < chars) & (F.col("k") <= sample)).select("doc_id")
+    return rows.join(bounded_broadcast(taken, 2 * sample), "doc_id", "left_semi").select("doc_id", "text", "toxic", "draw")
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, epochs: int = EPOCHS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``."""
     sc = docs.sparkSession.sparkContext
-    rows = training_rows(docs, labels, sample).toArrow().sort_by([("toxic", "ascending"), ("draw", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    rows = training_rows(docs, labels, sample, chars).toArrow().sort_by([("toxic", "ascending"), ("draw", "ascending"), ("doc_id", "ascending")])
     label = rows["toxic"].to_numpy()
-    first = np.searchsorted(label, label)
-    rows, label = rows.filter(pa.array(np.arange(len(label)) - first < sample)), label[np.arange(len(label)) - first < sample]
     texts = rows["text"].to_pylist()
     scalar, bias = np.zeros(BUCKETS, np.float32), -np.inf
     if len(set(label.tolist())) == 2:

@@ -59,3 +59,24 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert len({r.score for r in rows if r.doc_id in (2, 3, 4)}) == 1
     assert {r.score for r in toxicity.toxicity_scores(odd_documents, labels.limit(0)).collect()} == {0.0}
     assert toxicity.toxicity_scores(no_documents, labels).count() == 0
+
+
+def test_training_rows_are_whole_texts_in_drawn_order(spark):
+    """Long texts are drawn like short ones; the sum of characters and the number of texts bound a class."""
+    ids = [i for i in range(200) if not held_out(i)]
+    rows = [(i, prose(i, 3 + 20_000 * (i % 40 == 1))) for i in ids] + [(ids[0], "z"), (ids[0], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(ids[0], 1 - ids[0] % 2)], "doc_id long, toxic int")
+    every = toxicity.training_rows(docs, labels).collect()
+    assert sorted(r.doc_id for r in every) == ids and {r.doc_id: r.text for r in every} == {i: min(t for d, t in rows if d == i and t) for i in ids}
+    assert {r.doc_id: r.toxic for r in every} == {i: 1 if i == ids[0] else i % 2 for i in ids}
+    for chars in (50, 150_000):
+        some = toxicity.training_rows(docs, labels, chars=chars).collect()
+        for k in (0, 1):
+            wanted, total = [], 0
+            for r in sorted((r for r in every if r.toxic == k), key=lambda r: (r.draw, r.doc_id)):
+                if total < chars:
+                    wanted.append(r.doc_id)
+                total += len(r.text)
+            assert sorted(r.doc_id for r in some if r.toxic == k) == sorted(wanted)
+    assert len(toxicity.training_rows(docs, labels, sample=10).collect()) <= 20
