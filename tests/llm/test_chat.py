@@ -51,3 +51,21 @@ def test_mask_covers_answers_only(spark):
     assert turns[2] == ("user", "</s>") and loss == "yo hobye"
     assert len(r.ids) == len(r.loss_mask)
     assert reader.text([i for i, m in zip(r.ids, r.loss_mask, strict=True) if m]) == "yo hobye"
+
+
+def test_a_large_conversation_comes_in_parts(spark, monkeypatch):
+    """Parts are cut between turns, read alike when stored, and add up to the whole conversation."""
+    rows = [(7 if i % 3 else i, i, ("user", "assistant", "tool")[i % 4 % 3], "word " * (i % 50) + "[INST]") for i in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    whole = {r.conv_id: r for r in chat_format.chat_digest(chat_format.formatted_chats(df, BYTE_BPE), BYTE_BPE).collect()}
+    # the functions are sent to the workers as they are here, so the smaller bound reaches them by its own module
+    batches = df.where("conv_id = 7").sort("turn", "role", "text").toArrow().combine_chunks().to_batches()
+    monkeypatch.setattr(chat_format, "PART_IDS", 500)
+    turns = list(chat_format._turn_encoder(BYTE_BPE)(batches))
+    parts = list(chat_format._assembler(BYTE_BPE)(b.select(["conv_id", "ids"]) for b in turns))
+    numbers = [n for b in parts for n in b.column(1).to_pylist()]
+    assert numbers == list(range(len(numbers))) and len(numbers) > 20
+    assert all(len(ids) < 500 + 100 for b in parts for ids in b.column(2).to_pylist())
+    assert sum(ids.count(chat_format.reserved_ids(chat_format.ChatReader(BYTE_BPE).vocabulary)["<s>"]) for b in parts for ids in b.column(2).to_pylist()) == 1
+    (got,) = [r for b in chat_format._digester(BYTE_BPE)(parts) for r in b.to_pylist()]
+    assert got == whole[7].asDict() and got["n_turns"] == sum(c == 7 for c, *_ in rows)
