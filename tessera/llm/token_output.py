@@ -7,9 +7,10 @@ indexes hold the id range of every stride of rows, and Bloom filters on
 a filter on ``doc_id`` is answered from file metadata first.
 
 File columns: ``doc_id``; ``part`` (rank of the file in id order); ``local_start``
-(ids before this document inside its file); ``ids``.  A document's global
-start is ``local_start`` plus the totals of the files before it, so no task
-ever sees all rows and ids are encoded once.
+(ids before this document inside its file); ``n_tokens``; ``ids``.  A document's
+global start is ``local_start`` plus the totals of the files before it, so no
+task ever sees all rows, ids are encoded once, and the totals come from the two
+number columns alone.
 
 Defined results for odd input: a null text is an empty one (only the end id);
 a null ``doc_id`` sorts first; rows that repeat a ``doc_id`` follow one another,
@@ -28,10 +29,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.pretok import worker_pieces
-from tessera.llm.spill import shared_dir
+from tessera.llm.spill import bounded_broadcast, saved, shared_dir
 from tessera.llm.textvec import slices
 
-FILE_SCHEMA = "doc_id bigint, part int, local_start bigint, ids array<int>"
+FILE_SCHEMA = "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids array<int>"
+
+#: At most so many files' totals are broadcast.
+BROADCAST_FILES = 1_000_000
 
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -57,7 +61,7 @@ def _encoder(tokenizer_file: str, end_id: int):
                 out = np.insert(ids, off[1:], end_id)  # the end id after each text
                 off = off + np.arange(n + 1)
                 lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(out.astype(np.int32, copy=False)))
-                yield pa.record_batch([rows.column(0).cast(pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(done + off[:-1]), lists], names=["doc_id", "part", "local_start", "ids"])
+                yield pa.record_batch([rows.column(0).cast(pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(done + off[:-1]), pa.array(np.diff(off)), lists], names=["doc_id", "part", "local_start", "n_tokens", "ids"])
                 done += int(off[-1])
         pa.default_memory_pool().release_unused()
 
@@ -84,11 +88,12 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     """The stored documents with their global ``start`` and ``n_tokens``."""
     rows = spark.read.schema(FILE_SCHEMA).orc(path)
-    totals = rows.groupBy("part").agg(F.sum(F.size("ids").cast("long")).alias("_total"))
-    # one row per file, so this single window, and what is broadcast, is as
-    # small as the file listing that the driver holds in any case
+    totals = rows.groupBy("part").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("_total"))
+    # one row per file, so this single window is as small as the file listing
+    # that the driver holds in any case
     base = totals.select("part", F.coalesce(F.sum("_total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("local_start") + F.col("_base")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    base = bounded_broadcast(saved(base, "file-totals"), BROADCAST_FILES)
+    return rows.join(base, "part").select("doc_id", (F.col("local_start") + F.col("_base")).alias("start"), "n_tokens", "ids")
 
 
 def _digest(batches):
