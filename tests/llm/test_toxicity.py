@@ -1,5 +1,7 @@
 """Toxicity (2): held-out accuracy, and what the labels may not reach."""
 
+import math
+import re
 import zlib
 
 import numpy as np
@@ -52,6 +54,50 @@ def test_unseen_misspellings_lean_the_same_way():
     assert np.allclose(alone, odds)  # what a slice holds besides does not matter
 
 
+def mixed(x):
+    """The splitmix64 finaliser."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor % 2**64
+    return x ^ x >> 31
+
+
+def word_hash(word):
+    total = 0
+    for k in range(max(1, -(-len(word) // 8))):
+        total += mixed(int.from_bytes(word[8 * k : 8 * k + 8], "little") ^ mixed(k + 1))
+    return mixed((total + len(word) * 0xD6E8FEB86659FD93) % 2**64)
+
+
+def brute_log_odds(text, scalar, bias):
+    """The score of one text as the module describes it, a word at a time, from the trained table."""
+    lower = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    words = re.findall(rb"[^\x20\x09-\x0d]+", lower)
+    if not words:
+        return bias
+    grams = lambda w: [g[i : i + n] for g in (b" " + w + b" ",) for n in (3, 4, 5) for i in range(len(g) - n + 1)]
+    bucket = lambda x: x >> 64 - toxicity.BUCKET_BITS
+    adds = lambda w: scalar[bucket(word_hash(w))] + sum(scalar[bucket(mixed((int.from_bytes(g, "big") + len(g) * 0x9E3779B97F4A7C15) % 2**64))] for g in grams(w))
+    step = math.ceil(len(words) / math.ceil(len(words) / 5))
+    means = []
+    for lo in range(0, len(words), step):
+        passage = words[lo : lo + step]
+        means.append(math.fsum(map(adds, set(passage))) / max(20, sum(1 + len(grams(w)) for w in passage)))
+    top = sorted(means, reverse=True)[:3]
+    return bias + math.fsum(top) / len(top)
+
+
+def test_scores_equal_brute_force():
+    """Every text's log odds, from a trained table, against plain Python."""
+    texts = [prose(i, n) for i, n in enumerate((1, 2, 4, 5, 6, 11, 16, 21, 300))] + [t or "" for _, t, *_ in ODD_ROWS if t is None or len(t) < 30_000]
+    texts += ["", " \t\n", "a", "Fool fool FOOL fool fool", "é" * 40 + " x", "<|endoftext|>", "antidisestablishmentarianism " * 7]
+    label = np.array([0, 1] * 30)
+    model = toxicity.SubwordClassifier().fit(toxicity.text_bags([prose(i, 30) + " fool" * (i % 2) for i in range(60)]), label)
+    scalar = model.scalars()
+    got = toxicity.WordSums(scalar).log_odds(*text_bytes(pa.array(texts)), model.offset())
+    wanted = [brute_log_odds(t, scalar.astype(float), model.offset()) for t in texts]
+    assert len(set(wanted)) > 10 and np.allclose(got, wanted, atol=1e-5)
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(1, 1, 0), (8, 1, 1), (2, 0, 1), (3, None, None), (None, 1, 1), (6, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity_scores(odd_documents, labels).collect()
