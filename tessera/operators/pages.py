@@ -16,11 +16,28 @@ ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 _CUT, _OWN = "\x01\x03", "\x01\x02"
 
 
+#: A numeric character reference.
+_NUMERIC = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def _numeric(text):
+    """Numeric references as their characters; those that name none become U+FFFD."""
+
+    def read(piece):
+        code = F.coalesce(F.regexp_extract(piece, r"^&#([0-9]+);", 1).try_cast("int"), F.conv(F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]+);", 1), 16, 10).try_cast("int"))
+        char = F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit("\ufffd")).when(code == 38, F.lit("&amp;"))
+        char = char.otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.when(piece.rlike("^" + _NUMERIC), F.concat(char, F.regexp_replace(piece, "^" + _NUMERIC, ""))).otherwise(piece)
+
+    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, f"(?={_NUMERIC})", -1), read), "")).otherwise(text)
+
+
 def _text(piece):
     """Visible text of a piece: tags out, references read, white space single."""
     text = F.regexp_replace(piece, "<[^>]*>", " ")
-    for name, char in ENTITIES:
+    for name, char in ENTITIES[:-1]:
         text = F.replace(text, F.lit(name), F.lit(char))
+    text = F.replace(_numeric(text), F.lit(ENTITIES[-1][0]), F.lit(ENTITIES[-1][1]))
     return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
 
 

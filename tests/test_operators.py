@@ -193,6 +193,13 @@ def test_a_pages_own_characters_never_cut(spark):
     assert sorted((r.page_id, r.text) for r in out) == [(1, "a\x01b"), (1, "c\x01\x03d"), (3, "\x01\x02")]
 
 
+def test_numeric_references(spark):
+    """Decimal and hexadecimal ones, once only; those that name no character, and what only looks like one."""
+    cases = [("don&#8217;t", "don’t"), ("don&#x2019;t&#X41;&#0066;", "don’tAB"), ("&#128512;", "😀"), ("&#0;&#xD800;&#x110000;", "\ufffd" * 3), ("&#38;lt; &amp;#65; &#38;#65;", "&lt; &#65; &#65;"), ("&#; &#x; &#12", "&#; &#x; &#12"), ("&#60;b&#62;", "<b>")]
+    pages = spark.createDataFrame([(i, f"<p>{html}</p>") for i, (html, _) in enumerate(cases)], "page_id long, html string")
+    assert {r.page_id: r.text for r in pg.page_regions(pages, 0.0).collect()} == {i: text for i, (_, text) in enumerate(cases)}
+
+
 def test_a_repeated_run_replaces_itself(spark, tmp_path):
     df, out = spark.createDataFrame([(1, "text")], "request_id long, markdown string"), str(tmp_path / "runs")
     for run in ("a", "b", "a"):
