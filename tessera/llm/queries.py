@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontam, line_dedup, lm_scoring, mixing, near_dedup, quality, token_counts, token_output, toxicity
+from tessera.llm import chat_format, decontam, hard_negatives, lang_id, line_dedup, lm_scoring, mixing, near_dedup, quality, spelling, token_counts, token_output, toxicity
 from tessera.llm.ship import ship
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -65,6 +65,22 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.cross_entropy_difference(_table(spark, sf_dir, "documents"), lm_scoring.target_ids(_table(spark, sf_dir, "labels")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.slipped_words(_table(spark, sf_dir, "documents"), every=97), least_chars=5, least_count=3)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").where("label is not null").where(finite)
+    rows = rows.select(F.col("vec_id").alias("id"), label.alias("label"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector"))
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.language_predictions(_table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x20\x09-\x0D]+') AS w FROM documents),
 v AS (SELECT item_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x20\x09-\x0D]+') AS w FROM benchmark),
@@ -150,6 +166,40 @@ SELECT d.doc_id, coalesce(n.n,0)::BIGINT AS n_shingles, c.c AS component_id, d.d
 FROM documents d LEFT JOIN n USING(doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) c USING(doc_id)
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE steps(b, k, c) AS (SELECT b, 0, b::BIGINT FROM range(256) t(b) UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+own AS (SELECT id, w, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT id, w, n, flatten(list_transform(string_split(id || ':' || w, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [192 + ord(x) // 64, 128 + ord(x) % 64] END)) AS s FROM own),
+hashed AS (SELECT w, n, xor(list_reduce(s, lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1]), 4294967295), 4294967295) AS h FROM bytes, crc),
+slipped AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+g AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS z FROM v, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+pairs AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM g x JOIN g y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+  UNION SELECT g.word, v.word, v.n FROM g JOIN v ON v.word = g.a || g.z
+  UNION SELECT v.word, g.word, g.n FROM g JOIN v ON v.word = g.a || g.z),
+best AS (SELECT word, count(*) AS n_near, arg_max(near, (near_n, -k)) AS near, max(near_n) AS near_n FROM (SELECT pairs.*, row_number() OVER (ORDER BY near) AS k FROM pairs) GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END::BIGINT AS form_n FROM v LEFT JOIN best USING (word)),
+walk(word, here, k) AS (SELECT word, word, 0 FROM f UNION ALL SELECT walk.word, f.form, k + 1 FROM walk JOIN f ON f.word = walk.here WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(here, k) AS root FROM walk GROUP BY 1)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN roots USING (word)
+"""
+
+OP12_SQL = r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT::DOUBLE) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS mate, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE mate) WHERE k <= 5),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INTEGER AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.mate AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
 
 def queries() -> dict:
     return {
@@ -157,8 +207,9 @@ def queries() -> dict:
         "op5_line_dedup": op5_line_dedup, "op7_mixing": op7_mixing,
         "op1_decontamination": op1_decontamination, "op6_quality_rules": op6_quality_rules, "op10_lm_scoring": op10_lm_scoring,
         "op4_token_counts": op4_token_counts, "op8_near_dedup": op8_near_dedup, "op9_token_ids_orc": op9_token_ids_orc,
+        "op11_spelling_variants": op11_spelling_variants, "op12_hard_negatives": op12_hard_negatives, "op13_language_id": op13_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op3_chat_format": OP3_SQL, "op1_decontamination": OP1_SQL, "op8_near_dedup": OP8_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op3_chat_format": OP3_SQL, "op1_decontamination": OP1_SQL, "op8_near_dedup": OP8_SQL, "op11_spelling_variants": OP11_SQL, "op12_hard_negatives": OP12_SQL}
