@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.spill import saved
+from tessera.llm.spill import bounded_broadcast, saved
 from tessera.llm.textvec import slices
 from tessera.llm.worker import held
 
@@ -40,6 +40,8 @@ PIECE = 256
 #: Batches that are trained on, of this many windows (or of all there are).
 STEPS = 260
 BATCH = 512
+#: Languages whose sizes are broadcast; more are joined by a shuffle.
+MAX_LANGUAGES = 100_000
 #: Windows that advance together.
 TOGETHER = 4096
 #: Rows whose crc32(doc_id) has this remainder are held out of training.
@@ -224,10 +226,12 @@ def training_pieces(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     mod, rest = HELD_OUT
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").where("doc_id is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
     rows = rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod != rest)
-    draw = F.xxhash64("doc_id", F.lit(31))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30))
     at = 1 + F.pmod(F.xxhash64("doc_id", F.lit(57)), F.greatest(F.lit(1), F.length("text") - PIECE + 1))
-    pieces = rows.select("lang", draw.alias("draw"), "doc_id", F.substring("text", at.cast("int"), F.lit(PIECE)).alias("piece"))
-    # each task passes on its first ranks alone, so a language of a third of the rows is no hot key
+    # thinned by hash to some sample rows a language before ranks are given, so that a language of a third of the rows is no hot key
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    thinned = rows.withColumn("draw", draw).join(bounded_broadcast(saved(sizes, "language-sizes"), MAX_LANGUAGES), "lang").where(F.col("draw") * F.col("n") < int(1.2 * sample + 60) * (1 << 30))
+    pieces = thinned.select("lang", "draw", "doc_id", F.substring("text", at.cast("int"), F.lit(PIECE)).alias("piece"))
     ranked = pieces.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "piece")))
     return saved(ranked.where(F.col("k") <= sample).drop("k"), "training-pieces")
 
