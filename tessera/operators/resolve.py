@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import normalise_key, port_url
+
+#: Marked prefixes that are broadcast as an index (rows, and bytes of their text).
+MAX_MARKERS, MAX_MARKER_BYTES = 200_000, 16 << 20
+#: Beyond that, a prefix of more rows than this, and than a thousandth of all, is looked up by broadcast and not shuffled.
+HOT_ROWS = 10_000
+
 
 def first_viable(entities: DataFrame, candidates: DataFrame, on: str, viable: Column, order: list[Column], keep: list[str]) -> DataFrame:
     """``entities`` with the columns ``keep`` of their first viable candidate, null if there is none.
@@ -43,6 +50,35 @@ def ancestors(path: Column) -> Column:
     return F.when(F.size(parts) > 1, F.transform(joined, lambda a: F.when(a == "", F.lit("/")).otherwise(a))).otherwise(F.array().cast("array<string>"))
 
 
+def split_hot(placed: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hot, cool): the prefixes of ``names`` that stand in very many rows of ``placed``, and the rows that have none of them.
+
+    Counts are summed up in each task first.  Each row counts for one
+    prefix, so at most a thousand prefixes hold over a thousandth of the rows.
+    """
+    sizes = placed.groupBy("prefix").agg(F.count("*").alias("n"))
+    limit = max(HOT_ROWS, (sizes.agg(F.sum("n")).first()[0] or 0) // 1000)
+    hot = names.join(sizes.where(F.col("n") > limit).select("prefix"), "prefix", "left_semi")
+    # a hot prefix that is no marker must not be shuffled either
+    return hot, placed.join(F.broadcast(sizes.where(F.col("n") > limit).select("prefix")), "prefix", "left_anti")
+
+
+def marked_rows(placed: DataFrame, markers: DataFrame) -> list[DataFrame]:
+    """The rows of ``placed`` (path, configured, depth, prefix) whose prefix is marked, as tables of the same columns.
+
+    Few markers are an index that each task holds.  More are joined by their
+    text, but for the hottest: those would bring the rows of a whole host to one
+    task, and are looked up by broadcast.
+    """
+    names = markers.select("prefix").where("prefix is not null").distinct()
+    size = names.agg(F.count("*").alias("n"), F.sum(F.octet_length("prefix")).alias("bytes")).first()
+    columns = ["path", "configured", "depth", "prefix"]
+    if size["n"] <= MAX_MARKERS and (size["bytes"] or 0) <= MAX_MARKER_BYTES:
+        return [placed.join(F.broadcast(names), "prefix").select(*columns)]
+    hot, cool = split_hot(placed, names)
+    return [placed.join(F.broadcast(hot), "prefix").select(*columns), cool.join(names, "prefix").select(*columns)]
+
+
 def nearest_ancestor(paths: DataFrame, markers: DataFrame, fallback_up: int = 5) -> DataFrame:
     """(path, configured, marked, root) for every different path (and setting).
 
@@ -50,12 +86,45 @@ def nearest_ancestor(paths: DataFrame, markers: DataFrame, fallback_up: int = 5)
     ``prefix``.  ``root`` is the setting unless it is null or empty, else the
     closest ancestor that is a marker, else the ancestor ``fallback_up`` levels
     up, which a shallower path does not have (null).
+
+    The ancestors of a path are looked up where the path is, and one aggregate
+    by path keeps the longest that is marked: that is the only shuffle of paths
+    while the index of markers can be broadcast.
     """
     if "configured" not in paths.columns:
         paths = paths.withColumn("configured", F.lit(None).cast("string"))
-    paths = paths.select("path", "configured").where("path is not null").distinct()
-    placed = paths.select("path", F.posexplode(ancestors(F.col("path"))).alias("depth", "prefix")).distinct()
-    found = placed.join(markers.select("prefix").distinct(), "prefix").groupBy("path").agg(F.max_by("prefix", "depth").alias("marked"))
+    paths = paths.select("path", "configured").where("path is not null")
+    placed = paths.select("path", "configured", F.posexplode(ancestors(F.col("path"))).alias("depth", "prefix"))
+    alone = paths.select("path", "configured", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("prefix"))
+    rows = alone
+    for found in marked_rows(placed, markers):
+        rows = rows.unionByName(found)
+    nearest = rows.groupBy("path", "configured").agg(F.max_by("prefix", "depth").alias("marked"))
     above = ancestors(F.col("path"))
     fallback = F.when(F.size(above) >= fallback_up, F.element_at(above, -fallback_up))
-    return paths.join(found, "path", "left").select("path", "configured", "marked", F.coalesce(F.nullif("configured", F.lit("")), F.col("marked"), fallback).alias("root"))
+    return nearest.select("path", "configured", "marked", F.coalesce(F.nullif("configured", F.lit("")), F.col("marked"), fallback).alias("root"))
+
+
+def launch_outcome(requests: DataFrame, statuses: DataFrame, candidates: DataFrame, inventory: DataFrame, tools: DataFrame, default_impl: str, default_port: int) -> DataFrame:
+    """(request_id, module, impl, ok, command, url, message), one row per request.
+
+    ``requests`` are (request_id, module, impl, port): an empty ``impl`` becomes the
+    default, a null ``port`` too.  ``statuses`` are (module, impl, exists, available,
+    title, message).  Tried in this order: the module or its variant is not there
+    (the status message); no candidate can run; else the command that runs, and
+    its address.  Nothing is started.
+
+    A module that has no status was not found; of several status rows a flag holds if
+    any has it, and the least texts count.
+    """
+    asked = requests.select("request_id", "module", normalise_key(F.col("impl"), default_impl).alias("impl"), F.coalesce("port", F.lit(default_port)).alias("port"))
+    gates = statuses.groupBy("module", "impl").agg(F.bool_or("exists").alias("exists"), F.bool_or("available").alias("available"), F.min("title").alias("title"), F.min("message").alias("status"))
+    met = choose_candidate(asked.join(gates, ["module", "impl"], "left"), candidates, inventory, tools)
+    gate = F.coalesce(F.col("exists") & F.col("available"), F.lit(False))
+    absent = F.concat(F.lit("Module "), F.coalesce(F.col("module").cast("string"), F.lit("?")), F.lit(" ("), "impl", F.lit(") was not found."))
+    # fixed values: the texts of an outcome
+    nothing = F.concat(F.lit("No runnable command for impl '"), "impl", F.lit("' (missing toolchain or build)."))
+    started = F.concat(F.lit("Started "), F.coalesce("title", F.col("module").cast("string")), F.lit(" ("), "impl", F.lit(") API on port "), F.col("port").cast("string"), F.lit("."))
+    ok = gate & F.col("command").isNotNull()
+    message = F.when(~gate, F.coalesce("status", absent)).when(~ok, nothing).otherwise(started)
+    return met.select("request_id", "module", "impl", ok.alias("ok"), F.when(ok, F.col("command")).alias("command"), F.when(ok, port_url(F.col("port"))).alias("url"), message.alias("message"))

@@ -109,7 +109,7 @@ def nearest_ancestor(spark, sf_dir):
 
 def page_regions(spark, sf_dir):
     out = pg.page_regions(_table(spark, sf_dir, "pages"))
-    return out.select("page_id", "pos", "tag", F.length("text").alias("text_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return out.select("page_id", "pos", "tag", F.length("text").alias("text_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "depth")
 
 
 def _requests(pages: DataFrame) -> DataFrame:
@@ -121,11 +121,13 @@ def _requests(pages: DataFrame) -> DataFrame:
 
 def _outcomes(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages")
-    return pg.parse_outcome(_requests(pages), pages)
+    return pg.parse_outcome(_requests(pages), pages, folder="parsed/run-1")
 
 
 def _digested(out: DataFrame, *more: str) -> DataFrame:
-    return out.select("request_id", "ok", "n_regions", F.md5(F.col("markdown").cast("binary")).alias("markdown_md5"), F.md5(F.col("html").cast("binary")).alias("html_md5"), "message", *more)
+    digest = lambda c: F.md5(c.cast("binary"))
+    listed = F.array_join(F.transform("results", lambda b: F.concat_ws("|", b["pos"].cast("string"), b["tag"], b["text"], F.round(b["score"] * 1e6).cast("bigint").cast("string"))), "\n")
+    return out.select("request_id", "ok", "n_regions", digest(F.col("markdown")).alias("markdown_md5"), digest(F.col("html")).alias("html_md5"), digest(listed).alias("results_md5"), "output_dir", "message", *more)
 
 
 def parse_outcome(spark, sf_dir):
@@ -138,6 +140,59 @@ def write_parsed(spark, sf_dir):
     return _digested(sinks.read_parsed(spark, folder, "run-1"), "run_id")
 
 
+def launch_outcome(spark, sf_dir):
+    """Customers ask for a variant of their nation's module; its suppliers say what is there and what could run."""
+    segments = ["automobile", "building", "furniture", "machinery", "household"]
+    variant = lambda c: F.element_at(F.array(*map(F.lit, segments)), (F.pmod(c, F.lit(5)) + 1).cast("int"))
+    c, s = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "supplier")
+    requests = c.select(F.col("c_custkey").alias("request_id"), F.col("c_nationkey").alias("module"), F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.concat(F.lit(" "), "c_mktsegment")).alias("impl"), F.when(F.col("c_custkey") % 3 > 0, 8000 + F.col("c_custkey") % 3).alias("port"))
+    own = s.select(F.col("s_nationkey").alias("module"), variant(F.col("s_suppkey")).alias("impl"), "s_suppkey", "s_name", "s_acctbal")
+    name = F.concat(F.lit("Module "), F.col("module").cast("string"))
+    statuses = own.select("module", "impl", (F.col("s_acctbal") > -500).alias("exists"), (F.col("s_suppkey") % 3 > 0).alias("available"), name.alias("title"), F.concat(name, F.lit(" is incomplete.")).alias("message"))
+    tool = F.concat(F.lit("tool "), (F.col("s_suppkey") % 4).cast("string"))
+    candidates = own.select("module", "impl", (F.col("s_suppkey") % 2).cast("int").alias("rank"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("needs_path"), F.when(F.col("s_suppkey") % 4 > 0, tool).alias("needs_tool"), F.concat(F.lit("run "), "s_name").alias("command"))
+    present, tools = s.where("s_acctbal > 3000").select(F.col("s_name").alias("path")), s.where("s_suppkey % 4 in (1, 2)").select(tool.alias("tool"))
+    return resolve.launch_outcome(requests, statuses, candidates, present, tools, "machinery", 8002)
+
+
+def _bodies(spark, sf_dir):
+    """Request bodies: most events' properties as they are, the others with something else in them."""
+    k = F.get_json_object("props", "$.k")
+    shapes = [F.concat(F.lit('{"k": "'), k, F.lit('"}')), F.lit('{"k": null}'), F.lit('{"other": 1}'), F.concat(F.lit('{"k": '), k, F.lit('.5, "share": "yes"}')), F.concat(F.lit('{"k": "x'), k, F.lit('"}')), F.concat(F.lit('{"k": '), k, F.lit(', "share": 7, "mode": 1}')), F.concat(F.lit('{"k": '), k), F.concat(F.lit("["), k, F.lit("]")), F.concat(F.lit('{"k": '), k, F.lit('.0, "share": true, "mode": "fast"}')), F.lit(None)]
+    body = F.col("props")
+    for i, shape in enumerate(shapes):
+        body = F.when(F.col("event_id") % 20 == i, shape).otherwise(body)
+    return _table(spark, sf_dir, "events").select("event_id", body.alias("body"))
+
+
+def typed_contract(spark, sf_dir):
+    fields = {"k": registry.Field("bigint", required=True), "share": registry.Field("boolean", False), "mode": registry.Field("string", "plain", nullable=True)}
+    out = registry.typed_contract(_bodies(spark, sf_dir), "body", fields)
+    return out.select("event_id", "k", "share", "mode", F.array_join("missing", ",").alias("missing"), F.array_join("broken", ",").alias("broken"), "unreadable", "valid")
+
+
+def records_contract(spark, sf_dir):
+    joined = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    # one list for each hundred documents of a source, so that no list grows with the source
+    lists = joined.groupBy("source", F.floor(F.col("doc_id") / 100).cast("bigint").alias("part")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "lang", "quality", "toxic"))).alias("records"))
+    out = registry.records_contract(lists, "records", ["doc_id", "toxic"], allowed={"lang": ["en", "fr", "de"]}, ranges={"quality": (0, 0)})
+    said = F.transform("broken_at", lambda r: F.concat_ws(":", r["pos"].cast("string"), F.array_join(r["missing"], "+"), F.array_join(r["broken"], "+")))
+    return out.select("source", "part", F.size("records").alias("n"), F.array_join(said, ",").alias("broken_at"), "valid")
+
+
+def common_union(spark, sf_dir):
+    """One list of two tables that hold the same names in other types: number and text, and structs of other fields."""
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("code"), F.struct(F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("rank")).alias("detail"))
+    s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("id"), F.col("s_name").alias("code"), F.struct(F.col("s_nationkey").cast("bigint").alias("rank"), F.col("s_name").alias("name")).alias("detail"))
+    out = registry.registry_union([(0, c), (1, s)])
+    return out.select("ordinal", "id", "code", F.col("detail.balance").alias("balance"), F.col("detail.rank").alias("rank"), F.col("detail.name").alias("name"))
+
+
+def pretty_json(spark, sf_dir):
+    labels = _table(spark, sf_dir, "labels").withColumns({"flags": F.array(F.col("quality") == 1, F.col("toxic") == 1), "inner": F.struct("quality", F.lit(None).cast("string").alias("url"))})
+    return fx.row_json(labels, ["doc_id", "flags", "inner"], pretty=True).select("doc_id", "json")
+
+
 def path_inventory(spark, sf_dir):
     files = inventory.path_inventory(spark, sf_dir).where(F.col("path").endswith(".parquet"))
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", F.size("parents").alias("n_parents"))
@@ -167,6 +222,11 @@ QUERIES: dict[str, Query] = {
     "page_regions": page_regions,
     "parse_outcome": parse_outcome,
     "write_parsed": write_parsed,
+    "launch_outcome": launch_outcome,
+    "typed_contract": typed_contract,
+    "records_contract": records_contract,
+    "common_union": common_union,
+    "pretty_json": pretty_json,
     "path_inventory": path_inventory,
     "page_folders": page_folders,
 }
@@ -182,17 +242,35 @@ SELECT *, has_label AND good AND clean AS available,
 FROM ({_ROLLUP})
 """
 
-_REGIONS = r"""
-SELECT page_id, pos, tag, text, length(text) / length(piece) AS score FROM (
-  SELECT page_id, pos, piece, lower(regexp_extract(piece, '^<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag,
-    trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(piece, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text
-  FROM (
-    SELECT page_id, replace(unnest(pieces), chr(1) || chr(2), chr(1)) AS piece, (generate_subscripts(pieces, 1) - 1)::INTEGER AS pos FROM (
-      SELECT page_id, string_split(regexp_replace(
-        regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, chr(1), chr(1) || chr(2)), '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script(\s[^>]*)?>.*?</script\s*>', ' ', 'g'), '(?is)<style(\s[^>]*)?>.*?</style\s*>', ' ', 'g'), '(?is)<head(\s[^>]*)?>.*?</head\s*>', ' ', 'g'),
-        '(?i)(<(?:h[1-6]|p|li|div|article|section|nav|ul|ol|dl|dt|dd|table|tr|td|th|header|footer|main|aside|form|pre|blockquote|figure)(?:\s[^>]*)?>)', chr(1) || chr(3) || '\1', 'g'), chr(1) || chr(3)) AS pieces
-      FROM pages)))
-WHERE text <> '' AND length(text) / length(piece) >= 0.3
+_REST = r"""(?:[^>=]+|=\s*(?:"[^"]*(?:"|\z)|''[^'']*(?:''|\z))?)*(?:>|\z)"""
+_RAW = "|".join(rf"<{name}(?:[\s/]{_REST}|>|\z).*?(?:</{name}(?:[\s/][^>]*)?(?:>|\z)|\z)" for name in pg.RAW)
+_SCAN = rf"(?is)(?:<!--(?:-?>|.*?(?:--!?>|\z))|{_RAW})|(<[a-zA-Z]{_REST}|</[^>]*(?:>|\z)|<[!?][^>]*(?:>|\z))"
+
+
+def _names(names) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+#: From the definition: tokens in order, then windows over them for head, region and depth.  Of all references the given pages hold these alone.
+_REGIONS = rf"""
+WITH marked AS (SELECT page_id, string_split(regexp_replace(replace(html, chr(1), chr(1) || chr(3)), '{_SCAN}', chr(1) || chr(4) || '\1' || chr(1) || chr(5), 'g'), chr(1) || chr(4)) AS parts FROM pages WHERE html IS NOT NULL),
+tok AS (SELECT page_id, k, CASE WHEN k = 1 THEN '' ELSE split_part(part, chr(1) || chr(5), 1) END AS tag, CASE WHEN k = 1 THEN part ELSE split_part(part, chr(1) || chr(5), 2) END AS txt
+  FROM (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM marked)),
+named AS (SELECT *, lower(regexp_extract(tag, '^<(/?[a-zA-Z][^\s/>]*)', 1)) AS name FROM tok),
+heads AS (SELECT *, last_value(CASE WHEN name = 'head' THEN 1 WHEN name = '/head' THEN 0 WHEN name <> '' AND name NOT LIKE '/%' AND name NOT IN ({_names(pg.HEAD)}) THEN 0 END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY k) AS h FROM named),
+seen AS (SELECT *, coalesce(h, 0) AS hidden, coalesce(lag(h) OVER (PARTITION BY page_id ORDER BY k), 0) AS was FROM heads),
+shown AS (SELECT page_id, k, name,
+  CASE WHEN name = 'head' THEN ' ' WHEN hidden = 1 THEN '' WHEN was = 1 AND name = '/head' THEN txt WHEN k = 1 THEN txt ELSE ' ' || txt END AS visible,
+  CASE WHEN name = 'head' THEN 1 WHEN hidden = 1 THEN 0 WHEN was = 1 AND name = '/head' THEN length(txt) WHEN k = 1 THEN length(txt) WHEN tag = '' THEN 1 + length(txt) ELSE length(tag) + length(txt) END AS size,
+  hidden = 0 AND name IN ({_names(pg.BLOCKS)}) AS opens, (hidden = 0 AND name IN ({_names(pg.NESTING)}))::INTEGER - (hidden = 0 AND name IN ({_names("/" + n for n in pg.NESTING)}))::INTEGER AS balance
+  FROM seen),
+placed AS (SELECT *, (count(*) FILTER (opens) OVER (PARTITION BY page_id ORDER BY k))::INTEGER AS pos FROM shown),
+grouped AS (SELECT page_id, pos, string_agg(visible, '' ORDER BY k) AS visible, sum(size) AS size, sum(balance) AS balance, coalesce(max(name) FILTER (opens), '') AS tag FROM placed GROUP BY ALL),
+summed AS (SELECT *, sum(balance) OVER (PARTITION BY page_id ORDER BY pos) AS s FROM grouped),
+levels AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY pos)) AS level FROM summed),
+regions AS (SELECT page_id, pos, tag, size, (coalesce(lag(level) OVER (PARTITION BY page_id ORDER BY pos), 0) + CASE WHEN tag IN ({_names(pg.NESTING)}) THEN 1 ELSE 0 END)::INTEGER AS depth,
+  trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(visible, chr(1) || chr(3), chr(1)), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM levels)
+SELECT page_id, pos, tag, text, length(text) / size AS score, depth FROM regions WHERE text <> '' AND length(text) / size >= 0.3
 """
 
 _OUTCOME = f"""
@@ -200,9 +278,11 @@ WITH r AS (SELECT page_id AS src, page_id * 2 + k AS request_id, CASE WHEN page_
 g AS ({_REGIONS}),
 w AS (SELECT page_id, count(*) AS n,
   string_agg(CASE tag WHEN 'h1' THEN '# ' WHEN 'li' THEN '- ' ELSE '' END || text, chr(10) || chr(10) ORDER BY pos) AS markdown,
-  string_agg('<' || CASE tag WHEN '' THEN 'p' ELSE tag END || '>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</' || CASE tag WHEN '' THEN 'p' ELSE tag END || '>', chr(10) ORDER BY pos) AS html
+  string_agg('<' || CASE tag WHEN '' THEN 'p' ELSE tag END || '>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</' || CASE tag WHEN '' THEN 'p' ELSE tag END || '>', chr(10) ORDER BY pos) AS html,
+  string_agg(pos || '|' || tag || '|' || text || '|' || round(score * 1e6)::BIGINT, chr(10) ORDER BY pos) AS results
   FROM g GROUP BY page_id)
-SELECT request_id, p.page_id IS NOT NULL AS ok, coalesce(n, 0)::INTEGER AS n_regions, md5(coalesce(markdown, '')) AS markdown_md5, md5(coalesce(w.html, '')) AS html_md5,
+SELECT request_id, p.page_id IS NOT NULL AS ok, coalesce(n, 0)::INTEGER AS n_regions, md5(coalesce(markdown, '')) AS markdown_md5, md5(coalesce(w.html, '')) AS html_md5, md5(coalesce(results, '')) AS results_md5,
+  CASE WHEN p.page_id IS NOT NULL THEN 'parsed/run-1' END AS output_dir,
   CASE WHEN r.page_id IS NULL THEN 'No input was given.' WHEN p.page_id IS NULL THEN 'Input not found: ' || r.page_id ELSE 'Parsed ' || coalesce(n, 0) || ' regions.' END AS message
 FROM r LEFT JOIN pages p ON p.page_id = r.page_id LEFT JOIN w ON w.page_id = p.page_id
 """
@@ -255,12 +335,47 @@ ORACLE_SQL: dict[str, str] = {
         f AS (SELECT path, arg_max(prefix, depth) AS marked FROM a JOIN m USING (prefix) GROUP BY path)
         SELECT DISTINCT s.path, marked, coalesce(marked, CASE WHEN len(parts) - 1 >= 2 THEN CASE WHEN array_to_string(parts[1:len(parts) - 2], '/') = '' THEN '/' ELSE array_to_string(parts[1:len(parts) - 2], '/') END END) AS root
         FROM s LEFT JOIN f ON f.path = s.path""",
+    "launch_outcome": """
+        WITH r AS (SELECT c_custkey AS request_id, c_nationkey AS module, CASE WHEN c_custkey % 4 = 0 THEN 'machinery' ELSE lower(c_mktsegment) END AS impl, CASE WHEN c_custkey % 3 > 0 THEN 8000 + c_custkey % 3 ELSE 8002 END AS port FROM customer),
+        o AS (SELECT *, s_nationkey AS module, (['automobile', 'building', 'furniture', 'machinery', 'household'])[s_suppkey % 5 + 1] AS impl FROM supplier),
+        g AS (SELECT module, impl, bool_or(s_acctbal > -500) AND bool_or(s_suppkey % 3 > 0) AS gate FROM o GROUP BY ALL),
+        v AS (SELECT module, impl, 'run ' || s_name AS command, row_number() OVER (PARTITION BY module, impl ORDER BY s_suppkey % 2, s_name) AS k FROM o
+          WHERE (s_suppkey % 2 = 1 OR s_acctbal > 3000) AND s_suppkey % 4 IN (0, 1, 2))
+        SELECT request_id, r.module, r.impl, coalesce(gate, false) AND command IS NOT NULL AS ok, CASE WHEN gate THEN command END AS command, CASE WHEN gate AND command IS NOT NULL THEN 'http://127.0.0.1:' || port END AS url,
+          CASE WHEN gate IS NULL THEN 'Module ' || r.module || ' (' || r.impl || ') was not found.' WHEN NOT gate THEN 'Module ' || r.module || ' is incomplete.'
+            WHEN command IS NULL THEN 'No runnable command for impl ' || chr(39) || r.impl || chr(39) || ' (missing toolchain or build).' ELSE 'Started Module ' || r.module || ' (' || r.impl || ') API on port ' || port || '.' END AS message
+        FROM r LEFT JOIN g USING (module, impl) LEFT JOIN v ON v.module = r.module AND v.impl = r.impl AND v.k = 1""",
+    "typed_contract": """
+        WITH b AS (SELECT event_id, event_id % 20 AS m, json_extract_string(props, '$.k') AS k, props FROM events),
+        w AS (SELECT event_id, CASE m WHEN 0 THEN '{"k": "' || k || '"}' WHEN 1 THEN '{"k": null}' WHEN 2 THEN '{"other": 1}' WHEN 3 THEN '{"k": ' || k || '.5, "share": "yes"}' WHEN 4 THEN '{"k": "x' || k || '"}'
+          WHEN 5 THEN '{"k": ' || k || ', "share": 7, "mode": 1}' WHEN 6 THEN '{"k": ' || k WHEN 7 THEN '[' || k || ']' WHEN 8 THEN '{"k": ' || k || '.0, "share": true, "mode": "fast"}' WHEN 9 THEN NULL ELSE props END AS body FROM b),
+        j AS (SELECT event_id, CASE WHEN json_valid(body) THEN body END AS body FROM w),
+        t AS (SELECT event_id, body, coalesce(json_type(body) = 'OBJECT', false) AS readable, json_type(body, '$.k') AS tk, json_type(body, '$.share') AS ts, json_type(body, '$.mode') AS tm,
+          json_extract_string(body, '$.k') AS k, lower(json_extract_string(body, '$.share')) AS share, json_extract_string(body, '$.mode') AS mode FROM j),
+        f AS (SELECT *, coalesce(CASE WHEN tk = 'VARCHAR' THEN regexp_full_match(k, '[+-]?[0-9]{1,19}') WHEN tk IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN floor(k::DOUBLE) = k::DOUBLE ELSE false END, false) AS fk,
+          coalesce(share IN ('1', 'true', 't', 'yes', 'y', 'on', '0', 'false', 'f', 'no', 'n', 'off'), false) AS fs, coalesce(tm IN ('VARCHAR', 'NULL'), false) AS fm FROM t)
+        SELECT event_id, CASE WHEN readable AND fk THEN k::DOUBLE::BIGINT END AS k, CASE WHEN readable THEN CASE WHEN ts IS NULL THEN false WHEN fs THEN share IN ('1', 'true', 't', 'yes', 'y', 'on') END END AS share,
+          CASE WHEN readable THEN CASE WHEN tm IS NULL THEN 'plain' WHEN fm THEN mode END END AS mode, CASE WHEN readable AND tk IS NULL THEN 'k' ELSE '' END AS missing,
+          concat_ws(',', CASE WHEN readable AND tk IS NOT NULL AND NOT fk THEN 'k' END, CASE WHEN readable AND ts IS NOT NULL AND NOT fs THEN 'share' END, CASE WHEN readable AND tm IS NOT NULL AND NOT fm THEN 'mode' END) AS broken,
+          NOT readable AS unreadable, readable AND tk IS NOT NULL AND fk AND (ts IS NULL OR fs) AND (tm IS NULL OR fm) AS valid FROM f""",
+    "records_contract": """
+        WITH j AS (SELECT source, d.doc_id // 100 AS part, d.doc_id, lang, quality, toxic, toxic IS NULL AS m, coalesce(lang NOT IN ('en', 'fr', 'de'), false) AS bl, coalesce(quality NOT BETWEEN 0 AND 0, false) AS bq FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+        n AS (SELECT *, row_number() OVER (PARTITION BY source, part ORDER BY doc_id, lang, quality, toxic) - 1 AS pos FROM j)
+        SELECT source, part, count(*)::INTEGER AS n,
+          coalesce(string_agg(pos || ':' || CASE WHEN m THEN 'toxic' ELSE '' END || ':' || concat_ws('+', CASE WHEN bl THEN 'lang' END, CASE WHEN bq THEN 'quality' END), ',' ORDER BY pos) FILTER (m OR bl OR bq), '') AS broken_at,
+          NOT bool_or(m OR bl OR bq) AS valid FROM n GROUP BY source, part""",
+    "common_union": """
+        SELECT 0 AS ordinal, c_custkey AS id, c_nationkey::VARCHAR AS code, c_acctbal AS balance, c_nationkey::BIGINT AS rank, NULL::VARCHAR AS name FROM customer
+        UNION ALL SELECT 1, s_suppkey, s_name, NULL, s_nationkey, s_name FROM supplier""",
+    "pretty_json": """
+        SELECT doc_id, concat('{', chr(10), '  "doc_id": ', doc_id, ',', chr(10), '  "flags": [', chr(10), '    ', quality = 1, ',', chr(10), '    ', toxic = 1, chr(10), '  ],', chr(10),
+          '  "inner": {', chr(10), '    "quality": ', coalesce(quality::VARCHAR, 'null'), ',', chr(10), '    "url": null', chr(10), '  }', chr(10), '}') AS json FROM labels""",
     "page_folders": r"""
         WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages),
         s AS (SELECT path, string_split(path, '/') AS parts FROM p),
         a AS (SELECT DISTINCT CASE WHEN array_to_string(parts[1:k], '/') = '' THEN '/' ELSE array_to_string(parts[1:k], '/') END AS path FROM s, LATERAL (SELECT unnest(range(1, len(parts))) AS k))
         SELECT path, false AS is_dir FROM p UNION ALL SELECT path, true FROM a""",
-    "page_regions": f"SELECT page_id, pos, tag, length(text)::INTEGER AS text_chars, md5(text) AS text_md5 FROM ({_REGIONS})",
+    "page_regions": f"SELECT page_id, pos, tag, length(text)::INTEGER AS text_chars, md5(text) AS text_md5, depth FROM ({_REGIONS})",
     "parse_outcome": _OUTCOME,
     "write_parsed": f"SELECT *, 'run-1' AS run_id FROM ({_OUTCOME})",
 }
