@@ -31,14 +31,15 @@ BLOCKS = [*NESTING, "p", "li", "dt", "dd", "tr", "td", "th"]
 
 #: What follows a tag's name: a quote counts only after an equals sign.
 _REST = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\z)|'[^']*+(?:'|\z))?+)*+(?:>|\z)"
-_COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\z))"
-_RAW = "|".join(rf"<{name}(?:[\s/]{_REST}|>|\z).*?(?:</{name}(?:[\s/][^>]*)?(?:>|\z)|\z)" for name in RAW)
-_TAG = rf"<[a-zA-Z]{_REST}|</[^>]*(?:>|\z)|<[!?][^>]*(?:>|\z)"
-SCAN = rf"(?is)(?:{_COMMENT}|{_RAW})|({_TAG})"
+_COMMENT = r"!--(?:-?>|.*?(?:--!?>|\z))"
+_RAW = "|".join(rf"{name}(?:[\s/]{_REST}|>|\z).*?(?:</{name}(?:[\s/][^>]*)?(?:>|\z)|\z)" for name in RAW)
+_TAG = rf"[a-zA-Z]{_REST}|[/!?][^>]*(?:>|\z)"
+#: All that begins with ``<``; what is a tag is group 1, after that character.
+SCAN = rf"(?is)<(?:{_COMMENT}|{_RAW}|({_TAG}))"
 
 #: U+0001 and what follows it mark a tag's begin and end and a cut; a page's own U+0001 is the first.
 _OWN, _BEGIN, _END, _CUT = "\x01\x03", "\x01\x04", "\x01\x05", "\x01\x06"
-_INSIDE = "(?:[^\x01]|\x01\x03)*+"
+_INSIDE = "[^\x01]*+(?:\x01\x03[^\x01]*+)*+"
 
 
 def _marked(tag: str) -> str:
@@ -48,8 +49,8 @@ def _marked(tag: str) -> str:
 
 def scanned(html: Column) -> Column:
     """``html`` with its tags marked; comments, raw-text elements and the head are a blank each."""
-    marked = F.regexp_replace(F.replace(html, F.lit("\x01"), F.lit(_OWN)), SCAN, f"{_BEGIN}$1{_END}")
-    marked = F.replace(marked, F.lit(_BEGIN + _END), F.lit(" "))
+    marked = F.regexp_replace(F.replace(html, F.lit("\x01"), F.lit(_OWN)), SCAN, f"{_BEGIN}<$1{_END}")
+    marked = F.replace(marked, F.lit(f"{_BEGIN}<{_END}"), F.lit(" "))
     body = rf"(?={_BEGIN}<(?!(?:{'|'.join(HEAD)})[\s/>\x01])[a-zA-Z])"
     return F.regexp_replace(marked, rf"(?is){_marked('head')}.*?(?:{_marked('/head')}|{body}|\z)", " ")
 
@@ -89,7 +90,7 @@ def page_blocks(pages: DataFrame, threshold: float = 0.3) -> DataFrame:
 
     def block(piece: Column, depth: Column) -> Column:
         tag = F.lower(F.regexp_extract(piece, rf"^{_BEGIN}<([a-zA-Z][a-zA-Z0-9]*)", 1))
-        size = F.length(_plain(F.regexp_replace(piece, f"{_BEGIN}|{_END}", "")))
+        size = F.length(_plain(F.replace(F.replace(piece, F.lit(_BEGIN), F.lit("")), F.lit(_END), F.lit(""))))
         return F.struct(tag.alias("tag"), _text(piece).alias("text"), size.alias("size"), depth.alias("depth"))
 
     def placed(b: Column, k: Column) -> Column:
@@ -108,7 +109,9 @@ def page_regions(pages: DataFrame, threshold: float = 0.3) -> DataFrame:
     region, ``depth`` the number of nesting blocks around its begin.  One narrow
     pass; nothing is shuffled.
     """
-    return page_blocks(pages, threshold).select("page_id", F.explode("blocks").alias("b")).select("page_id", "b.*")
+    # a plain explode would put a filter on the list's size below, and so make the list twice
+    exploded = page_blocks(pages, threshold).select("page_id", F.explode_outer("blocks").alias("b"))
+    return exploded.where("b is not null").select("page_id", "b.*")
 
 
 def _escaped(c):
