@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textvec import Words, mix, signed, slices
+from tessera.llm.textvec import Words, mix, secret_key, signed, slices
 from tessera.llm.token_counts import Lookup
 from tessera.llm.worker import held
 
@@ -42,13 +42,13 @@ BLOCK_SHINGLES = 2_000_000
 PAIR_SCHEMA = "doc_id bigint, item_id bigint, n_item_shingles bigint, n_found bigint"
 
 
-def _item_sets(shingle: int):
+def _item_sets(shingle: int, key: int):
     """Distinct shingles of each item and the window length they were cut with."""
 
     def build(batches):
         for batch in batches:
             for rows, data, offsets in slices(batch):
-                words = Words(data, offsets, lower=True)
+                words = Words(data, offsets, lower=True, key=key)
                 found, off = words.shingles(shingle)
                 sets = [np.unique(found[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
                 length = np.full(len(sets), shingle, np.int32)
@@ -67,8 +67,8 @@ def _item_sets(shingle: int):
 class SketchIndex:
     """Sketches of a block of items, by size partition, and their whole sets."""
 
-    def __init__(self, item_id: np.ndarray, window: np.ndarray, sets: list[np.ndarray], threshold: float):
-        self.item_id, self.sets = item_id, sets
+    def __init__(self, item_id: np.ndarray, window: np.ndarray, sets: list[np.ndarray], key: int, threshold: float):
+        self.item_id, self.sets, self.key = item_id, sets, key
         size = np.array([len(s) for s in sets], np.int64)
         partition = np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)
         self.by_window: dict[int, tuple[Lookup, np.ndarray, np.ndarray]] = {}
@@ -93,7 +93,7 @@ def _index(name: str, block, threshold: float) -> SketchIndex:
 
 def _contained(index: SketchIndex, data: np.ndarray, offsets: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
     """(text, item, shingles found), sorted, of the texts of a slice."""
-    words = Words(data, offsets, lower=True)
+    words = Words(data, offsets, lower=True, key=index.key)
     pairs: list[tuple[int, int, int]] = []
     for window, (lookup, first, owner) in index.by_window.items():
         hashes, off = words.shingles(window)
@@ -141,13 +141,15 @@ def _without(name: str, block, threshold: float):
 def _blocks(spark, items: DataFrame, shingle: int):
     """(name, broadcast) of the items, in blocks of at most about ``BLOCK_SHINGLES`` shingles."""
     items = items.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    sets = items.mapInArrow(_item_sets(shingle), "item_id bigint, window int, shingles array<bigint>").where(F.size("shingles") > 0).dropDuplicates(["item_id", "window", "shingles"])
+    # under a key of this call, so that no text can be written to collide with an item
+    key = secret_key()
+    sets = items.mapInArrow(_item_sets(shingle, key), "item_id bigint, window int, shingles array<bigint>").where(F.size("shingles") > 0).dropDuplicates(["item_id", "window", "shingles"])
     total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
     n_blocks = -(-total // BLOCK_SHINGLES)
     for b in range(n_blocks):
         rows = sets.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).toArrow()
         if rows.num_rows:
-            content = (rows["item_id"].to_numpy(), rows["window"].to_numpy(), [np.array(s.values, dtype=np.int64).view(np.uint64) for s in rows["shingles"]])
+            content = (rows["item_id"].to_numpy(), rows["window"].to_numpy(), [np.array(s.values, dtype=np.int64).view(np.uint64) for s in rows["shingles"]], key)
             block = spark.sparkContext.broadcast(content)
             yield f"{spark.sparkContext.applicationId}-{block._jbroadcast.id() if block._jbroadcast is not None else id(block)}", block
 

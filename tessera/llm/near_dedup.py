@@ -16,7 +16,7 @@ keep the probability that a pair at the threshold shares no band below ``MISS``
 Links.  Nothing emits all pairs of a bucket:
 
 1. each bucket's least class is compared with every other one on full shingle
-   sets (64 bits a shingle), and the links found are merged into components;
+   sets (64 bits a shingle, under a key that is drawn for each call), and the links found are merged into components;
 2. pairs of one bucket that are still in different components are compared
    inside tasks, in blocks of bounded rows and bytes: on sketches first (six
    standard deviations of slack), then on full shingle sets; only links that
@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.spill import bounded_broadcast, checkpointed, saved
-from tessera.llm.textvec import Words, mix, signed, slices
+from tessera.llm.textvec import Words, mix, secret_key, signed, slices
 from tessera.llm.worker import forget
 
 COORDS = 128
@@ -101,9 +101,9 @@ def band_keys(cells: np.ndarray, rows: int) -> np.ndarray:
         return mix((used * weight).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
-def _sets(data, offsets, shingle, lower):
+def _sets(data, offsets, shingle, lower, key):
     """Sorted distinct shingle hashes of each text, and 128 bits of its sequence of words in two columns."""
-    words = Words(data, offsets, lower)
+    words = Words(data, offsets, lower, key)
     found, off = words.shingles(shingle, short=True)
     sets = [np.unique(found[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
     line, at = words.joined()
@@ -114,12 +114,12 @@ def _sets(data, offsets, shingle, lower):
 SKETCH_SCHEMA = "row bigint, doc_id bigint, th bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch binary"
 
 
-def _sketcher(shingle: int, lower: bool, rows_of_band: int):
+def _sketcher(shingle: int, lower: bool, rows_of_band: int, key: int):
     def sketch(batches):
         forget()
         for batch in batches:
             for rows, data, offsets in slices(batch):
-                sets, digest = _sets(data, offsets, shingle, lower)
+                sets, digest = _sets(data, offsets, shingle, lower, key)
                 size = np.array([len(s) for s in sets], np.int64)
                 cells = similarity_sketch(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
                 keys = band_keys(cells, rows_of_band)
@@ -134,11 +134,11 @@ def _sketcher(shingle: int, lower: bool, rows_of_band: int):
     return sketch
 
 
-def _full_sets(shingle: int, lower: bool):
+def _full_sets(shingle: int, lower: bool, key: int):
     def build(batches):
         for batch in batches:
             for _, data, offsets in slices(batch):
-                sets, digest = _sets(data, offsets, shingle, lower)
+                sets, digest = _sets(data, offsets, shingle, lower, key)
                 yield pa.record_batch([pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["d1", "d2", "members"])
 
     return build
@@ -267,7 +267,8 @@ def _numbered(docs: DataFrame, row) -> DataFrame:
 
 def _components(docs: DataFrame, shingle: int, num: int, den: int, lower: bool) -> tuple[DataFrame, DataFrame]:
     """The sketches of the rows of ``docs``, and (d1, d2, doc, component) of each class; ``doc`` numbers classes."""
-    base = saved(docs.mapInArrow(_sketcher(shingle, lower, band_rows(num, den)), SKETCH_SCHEMA), "sketches")
+    key = secret_key()
+    base = saved(docs.mapInArrow(_sketcher(shingle, lower, band_rows(num, den), key), SKETCH_SCHEMA), "sketches")
     classes = base.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th")).alias("pick"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     heads = saved(classes.select(F.monotonically_increasing_id().alias("doc"), "*"), "class-heads")
 
@@ -278,7 +279,7 @@ def _components(docs: DataFrame, shingle: int, num: int, den: int, lower: bool)
     stars = checkpointed(buckets.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct())
     ids = stars.select(F.col("a").alias("doc")).union(stars.select("b")).distinct()
     wanted = saved(heads.select("doc", "d1", "d2", F.col("pick.doc_id").alias("_id"), F.col("pick.th").alias("_th")).join(ids, "doc", "left_semi"), "compared")
-    found = docs.join(bounded_broadcast(wanted.select("_id", "_th"), MAX_WANTED), docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["th"] == F.col("_th")), "left_semi").select("th", "text").mapInArrow(_full_sets(shingle, lower), "d1 bigint, d2 bigint, members binary")
+    found = docs.join(bounded_broadcast(wanted.select("_id", "_th"), MAX_WANTED), docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["th"] == F.col("_th")), "left_semi").select("th", "text").mapInArrow(_full_sets(shingle, lower, key), "d1 bigint, d2 bigint, members binary")
     sets = saved(found.join(wanted.select("doc", "d1", "d2"), ["d1", "d2"]).groupBy("doc").agg(F.first("members").alias("members")), "shingle-sets")
     links = checkpointed(confirmed(stars, sets, num, den))
     labels = connected_components(links)

@@ -10,6 +10,7 @@ occur inside a multi-byte UTF-8 character and bytes can be scanned directly.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,9 +82,12 @@ def _keyed(block: np.ndarray, position: np.ndarray | int, seed: int) -> np.ndarr
 def span_hash(block: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
     """64-bit hashes of byte spans, from the ``blocks`` of their bytes.
 
-    Each block of 8 bytes is mixed with its position in the span before the
-    sum is taken, so nothing is linear in the bytes: texts made to collide
-    under a polynomial do not collide here.
+    Each block of 8 bytes is mixed with its position in the span and the seed before
+    the sum is taken, so nothing is linear in the bytes: texts made to collide
+    under a polynomial do not collide here.  Who knows the seed can still solve
+    the sum for a block, since mixing can be undone; whoever compares texts that
+    others wrote takes a seed that they cannot know (``secret_key``).  Under it
+    two spans are equal by chance alone, about once in 2**64 comparisons.
     """
     size = end - start
     total = _keyed(block[start] & _LEFT[np.minimum(size, 8)], 0, seed)
@@ -99,10 +103,20 @@ def span_hash(block: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
         return mix(total + size.astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+def secret_key() -> int:
+    """A key for one job, drawn on the driver and carried to all its tasks.
+
+    Hashes under different keys must not meet; those of a model that is kept, or
+    must come out alike each time, are taken without a key.
+    """
+    return secrets.randbits(63) | 1
+
+
 class Words:
-    """Words of all texts of a slice: byte spans, 64-bit hashes, and per-text offsets."""
+    """Words of all texts of a slice: byte spans, 64-bit hashes (under ``key``), and per-text offsets."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, key: int = 0):
+        self._seed = 1 + key
         self.n_texts = len(offsets) - 1
         if len(data) == 0:
             self.start = self.end = np.zeros(0, np.int64)
@@ -125,7 +139,7 @@ class Words:
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of the byte spans; equal spans have equal hashes."""
-        return span_hash(self._blocks, start, end)
+        return span_hash(self._blocks, start, end, self._seed)
 
     def joined(self) -> tuple[bytes, np.ndarray]:
         """The words of all texts with one byte 32 after each, and the byte offsets of the texts."""
@@ -143,6 +157,8 @@ class Words:
     def shingles(self, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all ``k``-word windows, in order, and per-text offsets.
 
+        A window's is a sum over its words' hashes, which nobody can solve for a
+        word without the key that made them.
         With ``short``, a text of 1 to k - 1 words has its whole sequence as
         its one window; else such texts have none.
         """
