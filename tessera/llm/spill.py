@@ -11,6 +11,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,37 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Where the paths of saved tables are noted, if anyone wants them.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """The paths of all tables that are saved inside are put on the list."""
+    token = _noted.set(paths)
+    try:
+        yield
+    finally:
+        _noted.reset(token)
+
+
+def removed(spark: SparkSession, paths: list[str], reader: DataFrame) -> list[str]:
+    """Delete the saved tables at ``paths`` but for those that ``reader`` still reads; returns these."""
+    if not paths:
+        return []
+    used = {f.rpartition("/")[0] for f in reader.inputFiles()}
+    bare = {re.sub(r"^file:/+", "/", f) for f in used}
+    left = []
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if store.makeQualified(folder).toString() in used or re.sub(r"^file:/+", "/", path) in bare:
+            left.append(path)
+        else:
+            store.delete(folder, True)
+    return left
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet into the shared folder, and read back.
 
@@ -37,6 +71,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (paths := _noted.get()) is not None:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
