@@ -2,19 +2,28 @@
 
 Lines are parsed by a tree of fixed depth: the number of tokens, then the
 leading ``DEPTH`` tokens, where a token with a digit is a variable field
-``<*>``.  A leaf holds many templates, found without any order of arrival:
+``<*>``.  Beside the path of constant leading tokens a line has one path for each
+of them as a field.  Templates are found without any order of arrival:
 
 * the line itself;
 * the leaf's majority: at each position the token that more than half of the
   leaf's different lines have there; it covers lines that share at least
   ``SIMILARITY`` of their tokens with it;
+* skeletons: a token is held if more than half of those lines of the leaf that
+  have the same token before it (or after it) at that place have it too, two at
+  least; all others are fields, and lines of one skeleton are a template if the
+  fields are at most ``1 - SIMILARITY`` of the tokens, wherever they are;
 * lines that differ in one field only: for every window of ``1 - SIMILARITY`` of
-  the tokens behind the leading ones (in steps of half a window), the lines
-  that are equal outside that window are one template.
+  the tokens (one at least) behind the leading ones, in steps of half a window, the
+  lines that are equal outside that window are one template; so are lines of three
+  tokens or more that are equal but for one leading token.
 
 A template needs a constant token: columns of figures are no template.
 Templates found in at least ``MIN_DOCS`` documents are recurring, and their lines
-are dropped from every document.  With ``long_tokens``, templates of that many
+are dropped from every document.  The fewer constant tokens a template of several
+lines has, the more often it must be found: its lines' documents times its
+constant tokens are at least ``MIN_DOCS * EVIDENCE``, so that three sentences that
+share four words stay.  With ``long_tokens``, templates of that many
 tokens or more recur from ``LONG_DOCS`` documents on; below ``MIN_DOCS`` the document
 of least ``doc_id`` keeps its lines.
 
@@ -44,12 +53,17 @@ DEPTH = 3
 SIMILARITY = 0.8
 MIN_DOCS = 3
 LONG_DOCS = 2
+#: Constant tokens from which on ``MIN_DOCS`` documents are evidence enough for a template of several lines.
+EVIDENCE = 10
+#: Lines of fewer tokens have no field but tokens with digits.
+MIN_TOKENS = 3
 #: Leaf keys that are broadcast to pick the lines to look into, majority tokens, and recurring lines
 #: to drop (some 65 bytes a row as Spark hashes them, 26 MB); more are joined by a shuffle.
 MAX_LEAVES = 400_000
 
 _FIELD = "<*>"
 _LINE = ["leaf", "a", "b"]
+_TEMPLATE = ["kind", "t"]
 
 
 def _doc_key():
@@ -58,9 +72,10 @@ def _doc_key():
 
 
 def parsed_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, d1, d2, pos, line, n, leaf, a, b) of every line that has a constant token.
+    """(doc_id, d1, d2, pos, line, n, leaf, a, b, fixed, w1, w2, ...) of every line that has a constant token.
 
-    ``line`` has one blank between tokens and ``<*>`` for each token with a digit.
+    ``line`` has one blank between tokens and ``<*>`` for each token with a digit; ``fixed`` counts the
+    other tokens; ``w1`` is the line on the path where its first token is a field, and so on.
     """
     blank, none, text = F.lit(" "), F.lit(""), F.col("text")
     odd = reduce(lambda x, y: x | y, (text.contains(c) for c in ("  ", "\t", "\r", "\x0b", "\x0c")))
@@ -71,61 +86,106 @@ def parsed_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     line = F.col("line")
     fixed = F.when(line.contains(_FIELD), F.replace(F.replace(line, F.lit(_FIELD), none), blank, none) != "").otherwise(line != "")
     lines = lines.where(fixed).withColumn("n", F.length("line") - F.length(F.replace("line", blank, none)) + 1)
-    leaf = F.xxhash64("n", F.substring_index("line", " ", depth))
-    return lines.select("*", leaf.alias("leaf"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"))
+    lead = F.substring_index("line", " ", depth)
+    known = lines.select("*", F.xxhash64("n", lead).alias("leaf"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"), F.split(lead, " ", -1).alias("lead"), F.xxhash64(F.expr("substr(line, length(%s) + 1)" % f"substring_index(line, ' ', {depth})")).alias("tail"))
+    own = (F.get("lead", F.lit(i)) for i in range(depth))
+    paths = [F.when((F.col("n") >= MIN_TOKENS) & (x != _FIELD), F.xxhash64("n", *(F.get("lead", F.lit(j)) for j in range(depth) if j != i), "tail")).alias(f"w{i + 1}") for i, x in enumerate(own)]
+    return known.select(*lines.columns, *_LINE, _fixed(line, F.col("n")).alias("fixed"), *paths)
+
+
+def _fixed(text, n):
+    """Tokens without a digit among the ``n`` of a masked text."""
+    return (n - (F.length(text) - F.length(F.replace(text, F.lit(_FIELD), F.lit("")))) / len(_FIELD)).cast("int")
 
 
 def _majority(lines: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, t, a, b) of the lines that their leaf's majority covers."""
+    """Members (kind, t, leaf, a, b, fixed) of the templates that are their leaf's majority."""
     placed = lines.select(*_LINE, "n", F.posexplode(F.split("line", " ", -1)).alias("pos", "token"))
     counts = placed.groupBy("leaf", "pos", "token").agg(F.count("*").alias("c"))
     sizes = lines.groupBy("leaf").agg(F.count("*").alias("lines"))
     kept = saved(counts.join(sizes, "leaf").where("2 * c > lines").select("leaf", "pos", "token"), "majorities")
-    alike = placed.join(bounded_broadcast(kept, MAX_LEAVES), ["leaf", "pos", "token"]).groupBy(*_LINE).agg(F.count("*").alias("same"), F.count(F.when(F.col("token") != _FIELD, 1)).alias("fixed"), F.first("n").alias("n"))
-    return alike.where((F.col("same") >= F.lit(similarity) * F.col("n") - 1e-9) & (F.col("fixed") > 0)).select("leaf", F.lit(0).cast("bigint").alias("t"), "a", "b")
+    constant = kept.where(F.col("token") != _FIELD).groupBy("leaf").agg(F.count("*").cast("int").alias("fixed"))
+    alike = placed.join(bounded_broadcast(kept, MAX_LEAVES), ["leaf", "pos", "token"]).groupBy(*_LINE).agg(F.count("*").alias("same"), F.count(F.when(F.col("token") != _FIELD, 1)).alias("own"), F.first("n").alias("n"))
+    covered = alike.where((F.col("same") >= F.lit(similarity) * F.col("n") - 1e-9) & (F.col("own") > 0))
+    return covered.join(constant, "leaf").select(F.lit(0).alias("kind"), F.col("leaf").alias("t"), *_LINE, "fixed")
+
+
+def _skeletons(lines: DataFrame, similarity: float) -> DataFrame:
+    """Members of skeletons: tokens that most lines with the same neighbour have are held, all others are fields."""
+    wide = lines.where(F.floor(F.lit(1 - similarity + 1e-9) * F.col("n")) > 1)
+    tokens = F.split("line", " ", -1)
+    # a pair stands at the place of its second token
+    pair = F.expr("transform(sequence(1, n - 1), i -> struct(i AS pos, x[i - 1] AS before, x[i] AS token))")
+    pairs = wide.select(*_LINE, "n", tokens.alias("x")).select(*_LINE, F.explode(pair).alias("p")).select(*_LINE, "p.*")
+    counts = saved(pairs.groupBy("leaf", "pos", "before", "token").agg(F.count("*").alias("c")), "line-pairs")
+    context = [counts.groupBy("leaf", "pos", side).agg(F.sum("c").alias(f"{side}_lines")) for side in ("before", "token")]
+    held = counts.where("c > 1").join(context[0], ["leaf", "pos", "before"]).join(context[1], ["leaf", "pos", "token"])
+    places = F.array_compact(F.array(F.when(F.expr("2 * c > before_lines"), F.col("pos")), F.when(F.expr("2 * c > token_lines"), F.col("pos") - 1)))
+    held = saved(held.select("leaf", "pos", "before", "token", places.alias("held")).where(F.size("held") > 0), "held-tokens")
+    own = pairs.join(bounded_broadcast(held, MAX_LEAVES), ["leaf", "pos", "before", "token"]).groupBy(*_LINE).agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"))
+    own = own.join(wide.select(*_LINE, "line", "n"), _LINE)
+    fields = F.col("n") - F.size("held")
+    own = own.where((fields > 0) & (fields <= F.lit(1 - similarity + 1e-9) * F.col("n")))
+    kept = own.select(*_LINE, "n", F.transform(tokens, lambda x, i: F.when(F.array_contains("held", i), x).otherwise(_FIELD)).alias("x"))
+    fixed = F.size(F.filter("x", lambda x: x != _FIELD))
+    return kept.select(F.lit(1).alias("kind"), F.xxhash64("n", F.array_join("x", " ")).alias("t"), *_LINE, fixed.alias("fixed")).where("fixed > 0")
 
 
 def _windows(lines: DataFrame, similarity: float, depth: int) -> DataFrame:
-    """(leaf, t, a, b): each line under what is left of it without one window; only templates of two lines or more."""
-    size = F.floor(F.lit(1 - similarity + 1e-9) * F.col("n")).cast("int")
-    wide = lines.select(*_LINE, "line", "n", size.alias("m")).where((F.col("m") > 0) & (F.col("n") > depth))
+    """Members of what is left of lines without one window behind the leading tokens; only templates of two lines or more."""
+    size = F.greatest(F.lit(1), F.floor(F.lit(1 - similarity + 1e-9) * F.col("n")).cast("int"))
+    wide = lines.select(*_LINE, "line", "n", size.alias("m")).where(F.col("n") >= max(MIN_TOKENS, depth + 1))
     last = F.col("n") - F.col("m") + 1
     starts = F.array_distinct(F.concat(F.sequence(F.lit(depth + 1), last, F.greatest(F.lit(1), F.expr("m div 2"))), F.array(last)))
     cut = wide.where(last > depth).select(*_LINE, "line", "n", "m", F.explode(starts).alias("s"))
     left = F.expr("substring_index(line, ' ', s - 1)")
     right = F.expr("CASE WHEN n - s - m + 1 > 0 THEN substring_index(line, ' ', -(n - s - m + 1)) ELSE '' END")
-    cut = cut.select(*_LINE, "s", left.alias("left"), right.alias("right")).where(F.replace(F.replace(F.concat("left", "right"), F.lit(_FIELD), F.lit("")), F.lit(" "), F.lit("")) != "")
-    keyed = saved(cut.select("leaf", F.xxhash64("s", "left", "right").alias("t"), "a", "b"), "line-windows")
-    shared = keyed.groupBy("leaf", "t").agg(F.count("*").alias("c")).where("c > 1").select("leaf", "t")
-    return keyed.join(saved(shared, "shared-windows"), ["leaf", "t"]).select("leaf", "t", "a", "b")
+    cut = cut.select(*_LINE, "n", "m", "s", left.alias("left"), right.alias("right"))
+    keyed = cut.select(F.lit(2).alias("kind"), F.xxhash64("leaf", "s", "left", "right").alias("t"), *_LINE, _fixed(F.concat("left", "right"), F.col("n") - F.col("m")).alias("fixed"))
+    return _shared(saved(keyed.where("fixed > 0"), "line-windows"))
+
+
+def _leading(lines: DataFrame, depth: int) -> DataFrame:
+    """Members of the paths where one leading token is a field; only templates of two lines or more."""
+    paths = F.array(*(F.struct(F.lit(3 + i).alias("kind"), F.col(f"w{i + 1}").alias("t")) for i in range(depth)))
+    keyed = lines.where("fixed > 1").select(F.explode(paths).alias("p"), *_LINE, (F.col("fixed") - 1).alias("fixed"))
+    return _shared(keyed.select("p.*", *_LINE, "fixed").where("t IS NOT NULL"))
+
+
+def _shared(members: DataFrame) -> DataFrame:
+    """The members of templates of two lines or more."""
+    shared = members.groupBy(*_TEMPLATE).agg(F.count("*").alias("c")).where("c > 1").select(*_TEMPLATE)
+    return members.join(bounded_broadcast(saved(shared, "shared-templates"), MAX_LEAVES), _TEMPLATE).select(*_TEMPLATE, *_LINE, "fixed")
 
 
 def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, long_tokens: int | None = None) -> DataFrame:
     """(d1, d2, drop): for each document with recurring lines, their sorted positions."""
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id") if dict(docs.dtypes)["doc_id"] == "void" else "doc_id", "text")
     is_long = F.lit(False) if long_tokens is None else F.col("n") >= long_tokens
-    rows = saved(parsed_lines(docs, depth).select("doc_id", "d1", "d2", "pos", *_LINE, is_long.alias("long")), "line-keys")
+    paths = ["fixed", *(f"w{i + 1}" for i in range(depth))]
+    rows = saved(parsed_lines(docs, depth).select("doc_id", "d1", "d2", "pos", *_LINE, is_long.alias("long"), *paths), "line-keys")
     least = F.when(F.col("long"), min(LONG_DOCS, min_docs)).otherwise(min_docs)
-    once = rows.groupBy(*_LINE, "long", "d1").agg(F.min("doc_id").alias("doc_id"))
-    lines = once.groupBy(*_LINE, "long").agg(F.count("*").alias("docs"), F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.min(F.struct("doc_id", "d1")).alias("keep"))
+    once = rows.groupBy(*_LINE, "long", "d1").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in paths))
+    lines = once.groupBy(*_LINE, "long").agg(F.count("*").alias("docs"), F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.min(F.struct("doc_id", "d1")).alias("keep"), *(F.min(c).alias(c) for c in paths))
     lines = saved(lines, "line-documents")
     leaves = lines.groupBy("leaf", "long").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     mixed = saved(leaves.where((F.col("lines") > 1) & (F.col("lo") != F.col("hi")) & (F.col("docs") >= least)).select("leaf").distinct(), "mixed-leaves")
     inside = parsed_lines(docs, depth).join(bounded_broadcast(mixed, MAX_LEAVES), "leaf", "left_semi").groupBy(*_LINE).agg(F.first("line").alias("line"), F.first("n").alias("n"))
     inside = saved(inside, "leaf-lines")
-    members = _majority(inside, similarity).union(_windows(inside, similarity, depth))
-    members = saved(members.join(lines, _LINE), "template-lines")
+    members = _majority(inside, similarity).union(_skeletons(inside, similarity)).union(_windows(inside, similarity, depth)).union(_leading(lines, depth))
+    members = saved(members.join(lines.select(*_LINE, "long", "docs", "lo", "hi", "keep"), _LINE), "template-lines")
     # a line in fewer than three documents has no others than its first and last, so lines are not gathered
     few = members.where(F.col("docs") < min_docs)
-    own = few.select("leaf", "t", F.explode(F.array("lo", "hi")).alias("d1"))
+    own = few.select(*_TEMPLATE, F.explode(F.array("lo", "hi")).alias("d1"))
     if min_docs > 3:
-        own = few.select("leaf", "t", "a", "b").join(rows.select(*_LINE, "d1"), _LINE).select("leaf", "t", "d1")
-    several = own.distinct().groupBy("leaf", "t").agg(F.count("*").alias("all"))
-    templates = members.groupBy("leaf", "t", "long").agg(F.max("docs").alias("most"), F.min("keep").alias("keep")).join(several, ["leaf", "t"], "left")
-    templates = saved(templates.select("leaf", "t", "long", "keep", F.greatest("most", F.coalesce("all", F.lit(0))).alias("docs")).where(F.col("docs") >= least), "recurring-templates")
+        own = few.select(*_TEMPLATE, *_LINE).join(rows.select(*_LINE, "d1"), _LINE).select(*_TEMPLATE, "d1")
+    several = own.distinct().groupBy(*_TEMPLATE).agg(F.count("*").alias("all"))
+    templates = members.groupBy(*_TEMPLATE, "long").agg(F.max("docs").alias("most"), F.min("keep").alias("keep"), (F.sum("docs") * F.max("fixed")).alias("evidence"))
+    templates = templates.join(several, _TEMPLATE, "left").where(F.col("evidence") >= min_docs * EVIDENCE)
+    templates = saved(templates.select(*_TEMPLATE, "long", "keep", F.greatest("most", F.coalesce("all", F.lit(0))).alias("docs")).where(F.col("docs") >= least), "recurring-templates")
 
     everywhere = lines.where(F.col("docs") >= min_docs).select(*_LINE)
-    recurring = members.select("leaf", "t", "a", "b").join(templates.withColumnRenamed("docs", "all"), ["leaf", "t"])
+    recurring = members.select(*_TEMPLATE, *_LINE).join(templates.withColumnRenamed("docs", "all"), _TEMPLATE)
     everywhere = everywhere.union(recurring.where(F.col("all") >= min_docs).select(*_LINE)).distinct()
     found = rows.join(bounded_broadcast(saved(everywhere, "recurring-lines"), MAX_LEAVES), _LINE, "left_semi").select("d1", "d2", "pos")
     if long_tokens is not None:

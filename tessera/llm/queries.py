@@ -118,11 +118,24 @@ e AS (SELECT n, lead, tok, unnest(tok) AS token, generate_subscripts(tok, 1) AS
 c AS (SELECT n, lead, p, token, count(*) AS c FROM e GROUP BY ALL),
 m AS (SELECT c.n, c.lead, p, token FROM c JOIN sz ON sz.n = c.n AND sz.lead = c.lead WHERE 2 * c > lines),
 a AS (SELECT e.n, e.lead, e.tok FROM e JOIN m ON m.n = e.n AND m.lead = e.lead AND m.p = e.p AND m.token = e.token GROUP BY ALL HAVING 10 * count(*) >= 8 * e.n AND count(*) FILTER (e.token <> '<*>') > 0),
-s AS (SELECT n, tok, n // 5 AS m, unnest(list_distinct(list_append(range(4, n - n // 5 + 2, greatest(1, n // 5 // 2)), n - n // 5 + 1))) AS s FROM u WHERE n >= 5),
-w AS (SELECT n, tok, s, tok[1:s - 1] || tok[s + m:n] AS rest FROM s WHERE len(list_filter(tok[1:s - 1] || tok[s + m:n], lambda x: x <> '<*>')) > 0),
-g AS (SELECT n, tok, 'line' AS kind, 0 AS s, tok AS rest FROM u UNION ALL SELECT n, tok, 'leaf', 0, lead FROM a UNION ALL SELECT n, tok, 'window', s, rest FROM w),
-o AS (SELECT g.n, kind, s, rest, doc_id, pos FROM g JOIN k USING (tok)),
-r AS (SELECT n, kind, s, rest, count(DISTINCT doc_id) AS docs, min(doc_id) AS keep FROM o GROUP BY ALL HAVING count(DISTINCT doc_id) >= CASE WHEN n >= 50 THEN 2 ELSE 3 END),
+mc AS (SELECT n, lead, count(*) AS c FROM m WHERE token <> '<*>' GROUP BY ALL),
+wd AS (SELECT n, greatest(1, n // 5) AS m, lead, tok FROM u WHERE n >= 3),
+s AS (SELECT n, m, tok, unnest(list_distinct(list_append(range(4, n - m + 2, greatest(1, m // 2)), n - m + 1))) AS s FROM wd WHERE n - m + 1 > 3
+  UNION ALL SELECT n, 1, tok, i FROM wd, range(1, 4) x(i) WHERE tok[i] <> '<*>'),
+w AS (SELECT n, tok, s, tok[1:s - 1] || tok[s + m:n] AS rest FROM s),
+tp AS (SELECT n, lead, tok, tok[p - 1] AS l, tok[p] AS token, p FROM (SELECT n, lead, tok, unnest(range(2, n + 1)) AS p FROM u WHERE n >= 10)),
+tb AS (SELECT n, lead, p, l, token, count(*) AS c FROM tp GROUP BY ALL),
+tl AS (SELECT n, lead, p, l, sum(c) AS c FROM tb GROUP BY ALL),
+tr AS (SELECT n, lead, p, token, sum(c) AS c FROM tb GROUP BY ALL),
+th AS (SELECT tb.n, tb.lead, tb.p, tb.l, tb.token, 2 * tb.c > tl.c AS own, 2 * tb.c > tr.c AS prior FROM tb
+  JOIN tl ON tl.n = tb.n AND tl.lead = tb.lead AND tl.p = tb.p AND tl.l = tb.l JOIN tr ON tr.n = tb.n AND tr.lead = tb.lead AND tr.p = tb.p AND tr.token = tb.token WHERE tb.c > 1),
+tx AS (SELECT tp.n, tp.tok, list(tp.p) FILTER (own) AS x, list(tp.p - 1) FILTER (prior) AS y FROM tp JOIN th ON th.n = tp.n AND th.lead = tp.lead AND th.p = tp.p AND th.l = tp.l AND th.token = tp.token GROUP BY ALL),
+tz AS (SELECT n, tok, list_distinct(coalesce(x, []) || coalesce(y, [])) AS held FROM tx),
+sk AS (SELECT n, tok, list_transform(tok, lambda x, i: CASE WHEN list_contains(held, i) THEN x ELSE '<*>' END) AS rest FROM tz WHERE n - len(held) > 0 AND 10 * (n - len(held)) <= 2 * n),
+g AS (SELECT n, tok, 'line' AS kind, 0 AS s, tok AS rest, 30 AS fixed FROM u UNION ALL SELECT a.n, tok, 'leaf', 0, a.lead, c FROM a JOIN mc ON mc.n = a.n AND mc.lead = a.lead
+  UNION ALL SELECT n, tok, 'window', s, rest, len(list_filter(rest, lambda x: x <> '<*>')) FROM w UNION ALL SELECT n, tok, 'skeleton', 0, rest, len(list_filter(rest, lambda x: x <> '<*>')) FROM sk),
+o AS (SELECT g.n, kind, s, rest, fixed, tok, doc_id, pos FROM g JOIN k USING (tok)),
+r AS (SELECT n, kind, s, rest, count(DISTINCT doc_id) AS docs, min(doc_id) AS keep FROM o GROUP BY ALL HAVING count(DISTINCT doc_id) >= CASE WHEN n >= 50 THEN 2 ELSE 3 END AND max(fixed) * count(DISTINCT (doc_id, tok)) >= 30),
 x AS (SELECT DISTINCT o.doc_id, o.pos FROM o JOIN r ON o.n = r.n AND o.kind = r.kind AND o.s = r.s AND o.rest = r.rest WHERE docs >= 3 OR o.doc_id <> keep),
 y AS (SELECT l.doc_id, count(*) AS n_lines, count(x.pos) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (x.pos IS NULL), '') AS kept FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.pos = l.pos GROUP BY 1)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, length(kept)::BIGINT AS kept_chars, sha256(kept) AS kept_sha256 FROM documents d LEFT JOIN y USING (doc_id)
