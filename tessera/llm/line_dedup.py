@@ -47,7 +47,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.spill import bounded_broadcast, saved
+from tessera.llm.spill import bounded_broadcast, noted, removed, saved
 
 DEPTH = 3
 SIMILARITY = 0.8
@@ -89,7 +89,7 @@ def parsed_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     lead = F.substring_index("line", " ", depth)
     known = lines.select("*", F.xxhash64("n", lead).alias("leaf"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"), F.split(lead, " ", -1).alias("lead"), F.xxhash64(F.expr("substr(line, length(%s) + 1)" % f"substring_index(line, ' ', {depth})")).alias("tail"))
     own = (F.get("lead", F.lit(i)) for i in range(depth))
-    paths = [F.when((F.col("n") >= MIN_TOKENS) & (x != _FIELD), F.xxhash64("n", *(F.get("lead", F.lit(j)) for j in range(depth) if j != i), "tail")).alias(f"w{i + 1}") for i, x in enumerate(own)]
+    paths = [F.when((F.col("n") >= MIN_TOKENS) & (x != _FIELD), F.xxhash64(F.lit(i), "n", *(F.get("lead", F.lit(j)) for j in range(depth) if j != i), "tail")).alias(f"w{i + 1}") for i, x in enumerate(own)]
     return known.select(*lines.columns, *_LINE, _fixed(line, F.col("n")).alias("fixed"), *paths)
 
 
@@ -113,6 +113,9 @@ def _majority(lines: DataFrame, similarity: float) -> DataFrame:
 def _skeletons(lines: DataFrame, similarity: float) -> DataFrame:
     """Members of skeletons: tokens that most lines with the same neighbour have are held, all others are fields."""
     wide = lines.where(F.floor(F.lit(1 - similarity + 1e-9) * F.col("n")) > 1)
+    # what two of three lines have is their leaf's majority, so smaller leaves have no other templates
+    large = lines.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 3").select("leaf")
+    wide = wide.join(bounded_broadcast(saved(large, "large-leaves"), MAX_LEAVES), "leaf", "left_semi")
     tokens = F.split("line", " ", -1)
     # a pair stands at the place of its second token
     pair = F.expr("transform(sequence(1, n - 1), i -> struct(i AS pos, x[i - 1] AS before, x[i] AS token))")
@@ -142,20 +145,18 @@ def _windows(lines: DataFrame, similarity: float, depth: int) -> DataFrame:
     right = F.expr("CASE WHEN n - s - m + 1 > 0 THEN substring_index(line, ' ', -(n - s - m + 1)) ELSE '' END")
     cut = cut.select(*_LINE, "n", "m", "s", left.alias("left"), right.alias("right"))
     keyed = cut.select(F.lit(2).alias("kind"), F.xxhash64("leaf", "s", "left", "right").alias("t"), *_LINE, _fixed(F.concat("left", "right"), F.col("n") - F.col("m")).alias("fixed"))
-    return _shared(saved(keyed.where("fixed > 0"), "line-windows"))
+    keyed = saved(keyed.where("fixed > 0"), "line-windows")
+    shared = keyed.groupBy(*_TEMPLATE).agg(F.count("*").alias("c")).where("c > 1").select(*_TEMPLATE)
+    return keyed.join(saved(shared, "shared-windows"), _TEMPLATE).select(*_TEMPLATE, *_LINE, "fixed")
 
 
-def _leading(lines: DataFrame, depth: int) -> DataFrame:
+def _leading(rows: DataFrame, depth: int) -> DataFrame:
     """Members of the paths where one leading token is a field; only templates of two lines or more."""
-    paths = F.array(*(F.struct(F.lit(3 + i).alias("kind"), F.col(f"w{i + 1}").alias("t")) for i in range(depth)))
-    keyed = lines.where("fixed > 1").select(F.explode(paths).alias("p"), *_LINE, (F.col("fixed") - 1).alias("fixed"))
-    return _shared(keyed.select("p.*", *_LINE, "fixed").where("t IS NOT NULL"))
-
-
-def _shared(members: DataFrame) -> DataFrame:
-    """The members of templates of two lines or more."""
-    shared = members.groupBy(*_TEMPLATE).agg(F.count("*").alias("c")).where("c > 1").select(*_TEMPLATE)
-    return members.join(bounded_broadcast(saved(shared, "shared-templates"), MAX_LEAVES), _TEMPLATE).select(*_TEMPLATE, *_LINE, "fixed")
+    paths = F.array(*(f"w{i + 1}" for i in range(depth)))
+    keyed = rows.where("fixed > 1").select(F.explode(paths).alias("t"), *_LINE, (F.col("fixed") - 1).alias("fixed")).where("t IS NOT NULL")
+    shared = saved(keyed.groupBy("t").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("t"), "shared-paths")
+    members = keyed.join(bounded_broadcast(shared, MAX_LEAVES), "t").select(F.lit(3).alias("kind"), "t", *_LINE, "fixed")
+    return members.distinct()
 
 
 def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, long_tokens: int | None = None) -> DataFrame:
@@ -165,15 +166,18 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMIL
     paths = ["fixed", *(f"w{i + 1}" for i in range(depth))]
     rows = saved(parsed_lines(docs, depth).select("doc_id", "d1", "d2", "pos", *_LINE, is_long.alias("long"), *paths), "line-keys")
     least = F.when(F.col("long"), min(LONG_DOCS, min_docs)).otherwise(min_docs)
-    once = rows.groupBy(*_LINE, "long", "d1").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in paths))
-    lines = once.groupBy(*_LINE, "long").agg(F.count("*").alias("docs"), F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.min(F.struct("doc_id", "d1")).alias("keep"), *(F.min(c).alias(c) for c in paths))
+    once = rows.groupBy(*_LINE, "long", "d1").agg(F.min("doc_id").alias("doc_id"))
+    lines = once.groupBy(*_LINE, "long").agg(F.count("*").alias("docs"), F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.min(F.struct("doc_id", "d1")).alias("keep"))
     lines = saved(lines, "line-documents")
     leaves = lines.groupBy("leaf", "long").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     mixed = saved(leaves.where((F.col("lines") > 1) & (F.col("lo") != F.col("hi")) & (F.col("docs") >= least)).select("leaf").distinct(), "mixed-leaves")
-    inside = parsed_lines(docs, depth).join(bounded_broadcast(mixed, MAX_LEAVES), "leaf", "left_semi").groupBy(*_LINE).agg(F.first("line").alias("line"), F.first("n").alias("n"))
-    inside = saved(inside, "leaf-lines")
-    members = _majority(inside, similarity).union(_skeletons(inside, similarity)).union(_windows(inside, similarity, depth)).union(_leading(lines, depth))
-    members = saved(members.join(lines.select(*_LINE, "long", "docs", "lo", "hi", "keep"), _LINE), "template-lines")
+    scratch: list[str] = []
+    with noted(scratch):
+        inside = parsed_lines(docs, depth).join(bounded_broadcast(mixed, MAX_LEAVES), "leaf", "left_semi").groupBy(*_LINE).agg(F.first("line").alias("line"), F.first("n").alias("n"))
+        inside = saved(inside, "leaf-lines")
+        members = _majority(inside, similarity).union(_skeletons(inside, similarity)).union(_windows(inside, similarity, depth)).union(_leading(rows, depth))
+    members = saved(members.join(lines, _LINE), "template-lines")
+    removed(docs.sparkSession, scratch, members)
     # a line in fewer than three documents has no others than its first and last, so lines are not gathered
     few = members.where(F.col("docs") < min_docs)
     own = few.select(*_TEMPLATE, F.explode(F.array("lo", "hi")).alias("d1"))
