@@ -27,11 +27,12 @@ share four words stay.  With ``long_tokens``, templates of that many
 tokens or more recur from ``LONG_DOCS`` documents on; below ``MIN_DOCS`` the document
 of least ``doc_id`` keeps its lines.
 
-Texts are normalised and masked by two replacements before they are cut into
-lines, so a line is split into tokens only if its leaf holds different lines of
-different documents.  Counts are summed before they are shuffled; a very common
-line is counted by (line, document) and never gathered; no leaf is gathered in
-one task.  Documents and lines are known by 128 bits.
+Texts are normalised, masked and cut into lines once; a line is split into tokens
+only if its leaf holds different lines of different documents.  Counts are summed
+before they are shuffled; a very common line is counted by (line, document) and
+never gathered.  Joins by leaf are left to adaptive execution to split.  Lines are
+known by 128 bits, documents by 128 where lines are cut and by 64 where they are
+counted, templates by 64.  A null ``doc_id`` comes before all others.
 
 Defined results for odd input: a null text stays null and has no lines; lines
 without tokens, or with variable fields only, are never dropped; a line counts
@@ -164,7 +165,7 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMIL
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id") if dict(docs.dtypes)["doc_id"] == "void" else "doc_id", "text")
     is_long = F.lit(False) if long_tokens is None else F.col("n") >= long_tokens
     paths = ["fixed", *(f"w{i + 1}" for i in range(depth))]
-    rows = saved(parsed_lines(docs, depth).select("doc_id", "d1", "d2", "pos", *_LINE, is_long.alias("long"), *paths), "line-keys")
+    rows = saved(parsed_lines(docs, depth).select("doc_id", "d1", "d2", "pos", *_LINE, is_long.alias("long"), "line", "n", *paths), "line-keys")
     least = F.when(F.col("long"), min(LONG_DOCS, min_docs)).otherwise(min_docs)
     once = rows.groupBy(*_LINE, "long", "d1").agg(F.min("doc_id").alias("doc_id"))
     lines = once.groupBy(*_LINE, "long").agg(F.count("*").alias("docs"), F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.min(F.struct("doc_id", "d1")).alias("keep"))
@@ -173,7 +174,7 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMIL
     mixed = saved(leaves.where((F.col("lines") > 1) & (F.col("lo") != F.col("hi")) & (F.col("docs") >= least)).select("leaf").distinct(), "mixed-leaves")
     scratch: list[str] = []
     with noted(scratch):
-        inside = parsed_lines(docs, depth).join(bounded_broadcast(mixed, MAX_LEAVES), "leaf", "left_semi").groupBy(*_LINE).agg(F.first("line").alias("line"), F.first("n").alias("n"))
+        inside = rows.select(*_LINE, "line", "n").join(bounded_broadcast(mixed, MAX_LEAVES), "leaf", "left_semi").groupBy(*_LINE).agg(F.first("line").alias("line"), F.first("n").alias("n"))
         inside = saved(inside, "leaf-lines")
         members = _majority(inside, similarity).union(_skeletons(inside, similarity)).union(_windows(inside, similarity, depth)).union(_leading(rows, depth))
     members = saved(members.join(lines, _LINE), "template-lines")
