@@ -46,23 +46,27 @@ def _numeric(piece: Column) -> Column:
     return F.when(none, F.lit("�")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
-def _named(piece: Column) -> Column:
+def _named(piece: Column, bare_names: bool) -> Column:
     """``piece`` with the name that it begins with read: a whole name, else the longest bare one, else as it is."""
     name = F.regexp_extract(piece, _NAME, 1)
     rest = lambda n: F.substring(piece, n + 2, F.length(piece))
+    if not bare_names:
+        return F.coalesce(F.concat(_by_letter({k: v for k, v in NAMES.items() if k not in BARE}, name), rest(F.length(name))), piece)
     whole = F.concat(_by_letter(NAMES, name), rest(F.length(name)))
     bare = [F.concat(_by_letter({k: v for k, v in BARE.items() if len(k) == n}, F.substring(name, 1, n)), rest(F.lit(n))) for n in range(_LONGEST, 1, -1) if any(len(k) == n for k in BARE)]
     return F.coalesce(whole, *bare, piece)
 
 
-def read_references(text: Column) -> Column:
+def read_references(text: Column, bare_names: bool = True) -> Column:
     """``text`` with each character reference read once; what is none stays as it is.
 
     Named references follow the longest match; numeric ones need their semicolon.
+    Without ``bare_names`` named ones need theirs too, so that a reference that was
+    cut off (``&amp`` at the end of a shortened text) stays as it is.
     """
 
     def read(piece: Column) -> Column:
         numeric = F.concat(_numeric(piece), F.regexp_replace(piece, "^" + NUMERIC, ""))
-        return F.when(F.startswith(piece, F.lit("&#")), F.when(piece.rlike("^" + NUMERIC), numeric).otherwise(piece)).when(F.startswith(piece, F.lit("&")), _named(piece)).otherwise(piece)
+        return F.when(F.startswith(piece, F.lit("&#")), F.when(piece.rlike("^" + NUMERIC), numeric).otherwise(piece)).when(F.startswith(piece, F.lit("&")), _named(piece, bare_names)).otherwise(piece)
 
     return let(text, lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, _START, -1), read), "")).otherwise(t))

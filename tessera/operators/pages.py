@@ -59,10 +59,10 @@ def _plain(marked: Column) -> Column:
     return F.replace(marked, F.lit(_OWN), F.lit("\x01"))
 
 
-def _text(piece: Column) -> Column:
+def _text(piece: Column, bare_names: bool) -> Column:
     """Visible text of a marked piece: tags out, references read, white space single."""
     text = _plain(F.regexp_replace(piece, rf"{_BEGIN}{_INSIDE}{_END}", " "))
-    return F.trim(F.regexp_replace(read_references(text), r"[ \t\n\x0B\f\r]+", " "))
+    return F.trim(F.regexp_replace(read_references(text, bare_names), r"[ \t\n\x0B\f\r]+", " "))
 
 
 def _depths(pieces: Column) -> Column:
@@ -81,17 +81,17 @@ def _depths(pieces: Column) -> Column:
 BLOCK_TYPE = "array<struct<pos:int,tag:string,text:string,score:double,depth:int>>"
 
 
-def page_blocks(pages: DataFrame, threshold: float = 0.3) -> DataFrame:
+def page_blocks(pages: DataFrame, threshold: float = 0.3, bare_names: bool = True) -> DataFrame:
     """(page_id, version, blocks) of each row: its regions with text and a score of at least ``threshold``, in order.
 
-    ``version`` is the page's MD5.
+    ``version`` is the page's MD5.  Without ``bare_names`` a named reference needs its semicolon.
     """
     cut = F.split(F.regexp_replace(scanned(F.col("html")), rf"(?i)({_marked('|'.join(BLOCKS))})", _CUT + "$1"), _CUT, -1)
 
     def block(piece: Column, depth: Column) -> Column:
         tag = F.lower(F.regexp_extract(piece, rf"^{_BEGIN}<([a-zA-Z][a-zA-Z0-9]*)", 1))
         size = F.length(_plain(F.replace(F.replace(piece, F.lit(_BEGIN), F.lit("")), F.lit(_END), F.lit(""))))
-        return F.struct(tag.alias("tag"), _text(piece).alias("text"), size.alias("size"), depth.alias("depth"))
+        return F.struct(tag.alias("tag"), _text(piece, bare_names).alias("text"), size.alias("size"), depth.alias("depth"))
 
     def placed(b: Column, k: Column) -> Column:
         score = F.length(b["text"]) / F.when(b["size"] > 0, b["size"])
@@ -102,7 +102,7 @@ def page_blocks(pages: DataFrame, threshold: float = 0.3) -> DataFrame:
     return pages.select("page_id", F.md5(F.col("html").cast("binary")).alias("version"), F.coalesce(kept, F.array().cast(BLOCK_TYPE)).cast(BLOCK_TYPE).alias("blocks"))
 
 
-def page_regions(pages: DataFrame, threshold: float = 0.3) -> DataFrame:
+def page_regions(pages: DataFrame, threshold: float = 0.3, bare_names: bool = True) -> DataFrame:
     """(page_id, pos, tag, text, score, depth) of every region with text and a score of at least ``threshold``.
 
     The score is the share of visible characters among all characters of the
@@ -110,7 +110,7 @@ def page_regions(pages: DataFrame, threshold: float = 0.3) -> DataFrame:
     pass; nothing is shuffled.
     """
     # a plain explode would put a filter on the list's size below, and so make the list twice
-    exploded = page_blocks(pages, threshold).select("page_id", F.explode_outer("blocks").alias("b"))
+    exploded = page_blocks(pages, threshold, bare_names).select("page_id", F.explode_outer("blocks").alias("b"))
     return exploded.where("b is not null").select("page_id", "b.*")
 
 
