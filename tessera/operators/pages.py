@@ -123,7 +123,7 @@ def _escaped(c):
 RESULT_TYPE = "array<struct<pos:int,tag:string,text:string,score:double>>"
 
 
-def parse_outcome(requests: DataFrame, pages: DataFrame, threshold: float = 0.3, folder: str | None = None) -> DataFrame:
+def parse_outcome(requests: DataFrame, pages: DataFrame, threshold: float = 0.3, folder: str | None = None, bare_names: bool = True) -> DataFrame:
     """(request_id, page_id, ok, n_regions, markdown, html, results, output_dir, message), one row per request.
 
     ``requests`` are (request_id, page_id).  A request without a page, or with an
@@ -133,7 +133,7 @@ def parse_outcome(requests: DataFrame, pages: DataFrame, threshold: float = 0.3,
     null where there is none, or where the request failed.
     """
     # a page's regions are one value all the way, so a page crosses the network once
-    known = page_blocks(pages, threshold).groupBy("page_id").agg(F.min_by("blocks", F.coalesce("version", F.lit(""))).alias("blocks"), F.lit(True).alias("found"))
+    known = page_blocks(pages, threshold, bare_names).groupBy("page_id").agg(F.min_by("blocks", F.coalesce("version", F.lit(""))).alias("blocks"), F.lit(True).alias("found"))
     joined = requests.select("request_id", "page_id").join(known, "page_id", "left")
     blocks = F.coalesce("blocks", F.array().cast(BLOCK_TYPE))
     markdown = F.array_join(F.transform(blocks, lambda b: F.concat(F.when(b["tag"] == "h1", "# ").when(b["tag"] == "li", "- ").otherwise(""), b["text"])), "\n\n")
