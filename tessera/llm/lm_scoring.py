@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.spill import bounded_broadcast, saved
-from tessera.llm.wordlm import HISTORIES, frequent_words, pair_counts, pair_model, text_log_probs, word_counts
+from tessera.llm.wordlm import frequent_words, pair_counts, pair_model, text_log_probs, word_counts
 
 #: Ids of target documents that are broadcast at most (8 MB); more are joined by a shuffle.
 MAX_TARGET_IDS = 1_000_000
@@ -37,14 +37,15 @@ def target_ids(labels: DataFrame) -> DataFrame:
     return labels.where((F.col("quality") == 1) & ~held_out()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(True).alias("in_target")).distinct()
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, n_histories: int = HISTORIES, **knobs) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, n_histories: int | None = None, **knobs) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of every row of ``docs``.
 
     ``target`` has the distinct ``doc_id`` of the target documents and ``in_target``.
+    Every word is a history of its own; ``n_histories`` keeps only so many frequent ones apart.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     marked = docs.join(bounded_broadcast(saved(target, "target-ids"), MAX_TARGET_IDS), "doc_id", "left").select("text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
-    known = frequent_words(word_counts(docs), n_histories)
-    model = pair_model(saved(pair_counts(marked, known, ["in_target"]), "pair-counts"), n_histories)
+    known = None if n_histories is None else frequent_words(word_counts(docs), n_histories)
+    model = saved(pair_model(saved(pair_counts(marked, known, ["in_target"]), "pair-counts")), "pair-model")
     size = F.greatest(F.col("n_tokens"), F.lit(1))
     return text_log_probs(docs, model, known, **knobs).select("doc_id", "n_tokens", (-F.col("p1") / size).alias("target_loss"), (-F.col("p0") / size).alias("background_loss"), ((F.col("p0") - F.col("p1")) / size).alias("score"))

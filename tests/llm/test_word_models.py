@@ -103,3 +103,19 @@ def test_scores_of_odd_rows(spark, odd_documents, no_documents):
     assert all(math.isfinite(r.score) for r in rows)
     assert len(lm_scoring.cross_entropy_difference(odd_documents, lm_scoring.target_ids(labels.limit(0))).collect()) == len(ODD_ROWS)
     assert lm_scoring.cross_entropy_difference(no_documents, lm_scoring.target_ids(labels)).count() == 0
+
+
+def test_every_word_is_a_history(spark, corpus, sf_dir):
+    """By default no history stands for several words."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = {r.doc_id: r.text for r in corpus.collect()}
+    wanted = {r.doc_id for r in labels.collect() if r.quality == 1 and zlib.crc32(str(r.doc_id).encode()) % 5}
+    every = {w for t in rows.values() for w in words(t)}
+    assert len(every) > 1000
+    named_ = {"=" + w for w in every}
+    background, target = plain(rows.values(), len(every) + 1, named_), plain([t for d, t in rows.items() if d in wanted], len(every) + 1, named_)
+    for r in lm_scoring.cross_entropy_difference(corpus, lm_scoring.target_ids(labels), head_limit=500).collect():
+        pairs = named(rows[r.doc_id], named_)
+        b, t = (-sum(m(*p) for p in pairs) / max(len(pairs), 1) for m in (background, target))
+        assert r.background_loss == pytest.approx(b, abs=1e-4)
+        assert r.score == pytest.approx(t - b, abs=1e-4)
