@@ -86,7 +86,7 @@ def parsed_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     lines = docs.select("doc_id", *_doc_key(), F.posexplode(F.transform(F.split(plain, "\n", -1), mask)).alias("pos", "line"))
     line = F.col("line")
     fixed = F.when(line.contains(_FIELD), F.replace(F.replace(line, F.lit(_FIELD), none), blank, none) != "").otherwise(line != "")
-    lines = lines.where(fixed).withColumn("n", F.length("line") - F.length(F.replace("line", blank, none)) + 1)
+    lines = lines.where(fixed).withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", blank, none)) + 1)
     lead = F.substring_index("line", " ", depth)
     known = lines.select("*", F.xxhash64("n", lead).alias("leaf"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"), F.split(lead, " ", -1).alias("lead"), F.xxhash64(F.expr("substr(line, length(%s) + 1)" % f"substring_index(line, ' ', {depth})")).alias("tail"))
     own = (F.get("lead", F.lit(i)) for i in range(depth))
@@ -96,7 +96,7 @@ def parsed_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def _fixed(text, n):
     """Tokens without a digit among the ``n`` of a masked text."""
-    return (n - (F.length(text) - F.length(F.replace(text, F.lit(_FIELD), F.lit("")))) / len(_FIELD)).cast("int")
+    return (n - (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(_FIELD), F.lit("")))) / len(_FIELD)).cast("int")
 
 
 def _majority(lines: DataFrame, similarity: float) -> DataFrame:
