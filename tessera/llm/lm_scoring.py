@@ -2,8 +2,8 @@
 
 Two word n-gram models (``wordlm``), one of the target documents and one of all
 documents (the background), share vocabulary, histories, order and smoothing,
-and are counted in one pass; their table keeps every pair and grows with the
-corpus.  A document's score is the mean over its words of background minus
+and are counted in one pass; every pair is counted and the table grows with the
+corpus.  The tables that the model is made of are deleted once used.  A document's score is the mean over its words of background minus
 target log probability, so lower means closer to the target.
 
 The target is ``labels.quality = 1``.  Rows whose crc32(doc_id) mod 5 is 0 are held
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.spill import bounded_broadcast, saved
+from tessera.llm.spill import bounded_broadcast, saved, scratch, settled
 from tessera.llm.wordlm import frequent_words, pair_counts, pair_model, text_log_probs, word_counts
 
 #: Ids of target documents that are broadcast at most (8 MB); more are joined by a shuffle.
@@ -43,9 +43,18 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, n_histories: in
     ``target`` has the distinct ``doc_id`` of the target documents and ``in_target``.
     Every word is a history of its own; ``n_histories`` keeps only so many frequent ones apart.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = docs.join(bounded_broadcast(saved(target, "target-ids"), MAX_TARGET_IDS), "doc_id", "left").select("text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    marked = docs.join(bounded_broadcast(saved(target, "target-ids"), MAX_TARGET_IDS), "doc_id", "left").select("row", "doc_id", "text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
     known = None if n_histories is None else frequent_words(word_counts(docs), n_histories)
-    model = saved(pair_model(saved(pair_counts(marked, known, ["in_target"]), "pair-counts")), "pair-model")
+    spark = docs.sparkSession
+    with scratch(spark) as kept:
+        with scratch(spark) as read:  # the counts go before the model is joined
+            counts = saved(pair_counts(marked, known, ["in_target"]), "pair-counts")
+            settled(spark)
+            rows, totals = pair_model(counts, **knobs)
+            read(rows)
+        settled(spark)
+        model = kept(saved(rows, "pair-model"))
+    settled(spark)
     size = F.greatest(F.col("n_tokens"), F.lit(1))
-    return text_log_probs(docs, model, known, **knobs).select("doc_id", "n_tokens", (-F.col("p1") / size).alias("target_loss"), (-F.col("p0") / size).alias("background_loss"), ((F.col("p0") - F.col("p1")) / size).alias("score"))
+    return text_log_probs(marked, model, totals, known, ["in_target"], **knobs).select("doc_id", "n_tokens", (-F.col("p1") / size).alias("target_loss"), (-F.col("p0") / size).alias("background_loss"), ((F.col("p0") - F.col("p1")) / size).alias("score"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from llm_fixtures import ODD_ROWS, words
 
-from tessera.llm import lm_scoring, queries, wordlm
+from tessera.llm import lm_scoring, queries, spill, wordlm
 from tessera.llm.textvec import Words, text_bytes
 
 HISTORIES = 20
@@ -119,3 +119,30 @@ def test_every_word_is_a_history(spark, corpus, sf_dir):
         b, t = (-sum(m(*p) for p in pairs) / max(len(pairs), 1) for m in (background, target))
         assert r.background_loss == pytest.approx(b, abs=1e-4)
         assert r.score == pytest.approx(t - b, abs=1e-4)
+
+
+def test_pairs_that_stand_once_take_no_room(spark, corpus, sf_dir, tmp_path, monkeypatch):
+    """Only pairs of several occurrences have a row, and neither their counts nor totals stay on disk."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    pairs = Counter(p for t in (r.text for r in corpus.collect()) for p in named(t, {"=" + w for w in words(t)}))
+    models = []
+    monkeypatch.setattr(spill, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(lm_scoring, "text_log_probs", lambda docs, model, *args, **knobs: models.append(model) or wordlm.text_log_probs(docs, model, *args, **knobs))
+    got = lm_scoring.cross_entropy_difference(corpus, lm_scoring.target_ids(labels)).collect()
+    assert len(got) == corpus.count()
+    assert models[0].count() == sum(n > 1 for n in pairs.values()) < len(pairs) / 2
+    assert {f.name.rpartition("-")[0] for f in tmp_path.iterdir() if "-" in f.name} == {"target-ids", "pair-model", "text-sums"}
+
+
+def test_parts_change_no_score(spark, corpus, sf_dir, monkeypatch):
+    """Neither where pairs are dealt to nor in how many parts texts are scored shows in the result."""
+    target = lm_scoring.target_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    texts = corpus.where("doc_id % 5 = 0")
+    one = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(texts, target, head_limit=500).collect()}
+    monkeypatch.setattr(wordlm, "HOT_SHARE", 1)
+    monkeypatch.setattr(wordlm, "WHOLE_MODEL", 0)
+    rows = lm_scoring.cross_entropy_difference(texts, target, head_limit=500).collect()
+    assert len(rows) == len(one)
+    for r in rows:
+        assert r.n_tokens == one[r.doc_id].n_tokens
+        assert (r.background_loss, r.score) == pytest.approx((one[r.doc_id].background_loss, one[r.doc_id].score), abs=1e-5)
